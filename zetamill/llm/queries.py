@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_roundtrip, minhash_dedup, packing, token_counts
+from . import bpe_roundtrip, line_dedup, minhash_dedup, packing, token_counts, toxicity
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,33 @@ from n join c on c.node = n.doc_id
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), host="source")
+    return out.select("doc_id", "source", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_dropped").cast("long").alias("n_dropped"), "text")
+
+
+OP2_SQL = """
+with pages as (select source, count(*) pages from documents where source is not null group by 1),
+d as (select source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) line from documents where source is not null),
+f as (
+  select d.source, line from d join pages p on p.source = d.source where line <> ''
+  group by d.source, line, p.pages having count(*) >= 3 and count(*) > p.pages * 0.08::double),
+g as (select source, list(line) bad from f group by 1),
+k as (
+  select doc_id, d.source, text, string_split(text, chr(10)) lines,
+    list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '' or not list_contains(coalesce(bad, []), trim(x, ' '))) kept
+  from documents d left join g on g.source = d.source)
+select doc_id, source, cast(coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')), 0) as bigint) n_lines,
+  cast(coalesce(len(lines) - len(kept), 0) as bigint) n_dropped,
+  case when len(lines) > len(kept) then coalesce(array_to_string(kept, chr(10)), '') else text end as text
+from k
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -52,11 +80,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_line_dedup": op2_line_dedup,
         "op4_token_counts": op4_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL}
