@@ -12,7 +12,7 @@ from zetamill.llm.units import load_tokenizer
 
 ODD = [
     None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "a\nb", "don't we'll it's 's", "x  's", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>  <|startoftext|>b", "<|ENDOFTEXT|>",
-    "é, è. à b c  d", "a  b  c", "　x 　 y", "a\x1c b\x85 c \x1fd", "1.5, 2,000; 3:4 v1.", "é ́x á, ́", "日本 語。 です", "🙂 🙂🙂  🙂\n🙂", "The THE the ß ẞ İ ΑΣ Σ", "tab\tsep\r\nline", "a,.;b .,c !?", "… a … b «é» c», d",
+    "é, è. à b c  d", "a  b  c", "　x 　 y", "a\x1c b\x85 c \x1fd", "1.5, 2,000; 3:4 v1.", "é ́x á, ́", "日本 語。 です", "🙂 🙂🙂  🙂\n🙂", "The THE the ß ẞ İ ΑΣ Σ", "tab\tsep\r\nline", "a,.;b .,c !?", "é,è. ×,÷. ñ! ÿ?x Ã¸:À;", "… a … b «é» c», d",
     "x" * 5000, "ab " * 20000, "w. " * 3000, "\u0000 a\u0000b", "'s'S 'RE", " ­ a ​ b", "﻿a ﻿ b",
 ]
 

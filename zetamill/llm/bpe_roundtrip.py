@@ -81,7 +81,7 @@ class ByteBpe:
         self.decimal_size = np.array([len(b) for b in decimals], np.int64)
         self.decimal_begin = np.cumsum(self.decimal_size) - self.decimal_size
         self.decimal_pool = np.frombuffer(b"".join(decimals), np.uint8)
-        self.cache = UnitCache(self.encode_many, np.uint32)
+        self.cache = UnitCache(self.encode_many, "I")
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; every match of the pattern is encoded separately."""

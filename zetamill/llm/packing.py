@@ -148,7 +148,8 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = once(("pack", tokenizer_path), lambda: load_tokenizer(tokenizer_path))
         sentence_end = once(("sentence ends", tokenizer_path), lambda: sentence_end_table(tokenizer))
-        cache = once(("pack cache", tokenizer_path), lambda: UnitCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.uint16))
+        fold_case = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("ABZ") == "abz"
+        cache = once(("pack cache", tokenizer_path), lambda: UnitCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], "H", fold_case))
         stream = _Stream(sentence_end, capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint16)
         for batch in batches:

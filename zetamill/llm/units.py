@@ -5,7 +5,7 @@ by unit and each distinct unit only once.  The positions used here are safe for
 
 * before a single space or line feed, and after a single line feed, between two characters that aren't
   white space (a space belongs to the pre-token that follows, a line feed is one of its own);
-* before one of , . ; : ! ? after an ASCII letter or digit;
+* before one of , . ; : ! ? after an ASCII letter or digit or a letter of U+00C0 .. U+00FF;
 * with drop_space, for tokenizers that drop white space, around every run of ASCII white space.
 
 Where it is not plain from the bytes that a neighbour isn't (Unicode) white space, nothing is cut: units
@@ -14,6 +14,8 @@ get longer, never wrong.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 from .textkernel import _power_tables, mix64
@@ -27,9 +29,15 @@ _MAYBE_SPACE = _ASCII_SPACE.copy()
 _MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Second bytes of the letters U+00C0 .. U+00FF, all but the multiplication and division signs.
+_LATIN_TAIL = np.zeros(256, dtype=bool)
+_LATIN_TAIL[0x80:0xC0] = True
+_LATIN_TAIL[[0x97, 0xB7]] = False
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ",.;:!?"]] = True
 _RAW = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _NO = np.zeros(0, np.int64)
 
 
@@ -39,7 +47,9 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray, drop_space: bool) -> tuple
     if not n:
         return _NO, _NO, np.zeros(len(offsets), np.int64)
     cut = np.zeros(n + 1, dtype=bool)
-    cut[1:n] |= _MARK[data[1:]] & _ALNUM[data[:-1]]
+    mark = _MARK[data]
+    cut[1:n] |= mark[1:] & _ALNUM[data[:-1]]
+    cut[2:n] |= mark[2:] & (data[:-2] == 0xC3) & _LATIN_TAIL[data[1:-1]]
     if drop_space:
         inside = ~_DROPPED[data]
         cut[1:n] |= ~inside[:-1]
@@ -87,22 +97,27 @@ def gather(pool: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 class UnitCache:
-    """What a worker has already encoded: unit hash -> bytes of its ids.  Holds at most `most` units.
+    """What a worker has already encoded: unit hash -> bytes of its ids.
 
-    It lives as long as the worker process and is only a cache: when full it is emptied, and units above
-    LONG bytes aren't kept.
+    It lives as long as the worker process and is only a cache of two generations with at most `most` units each:
+    when the younger is full it becomes the older, and units of the older that are met again move back.
+    Units above LONG bytes aren't kept.
     """
 
     LONG = 64
 
-    def __init__(self, encode, dtype, most: int = 600_000) -> None:
-        self.encode, self.dtype, self.most = encode, np.dtype(dtype), most
+    def __init__(self, encode, typecode: str, fold_case: bool = False, most: int = 700_000) -> None:
+        self.encode, self.typecode, self.fold_case, self.most = encode, typecode, fold_case, most
+        self.dtype = np.dtype(typecode)
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, drop_space: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more entry at the end)."""
         starts, ends, at = unit_spans(data, offsets, drop_space)
-        distinct, first, code = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # Special strings such as <|...|> are told from others by case.
+        folded = _LOWER[data] if self.fold_case and not (data[:-1][data[1:] == 0x7C] == 0x3C).any() else data
+        distinct, first, code = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
         blobs = self.lookup(distinct, first, data, starts, ends)
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(blobs), dtype=self.dtype)
@@ -113,17 +128,23 @@ class UnitCache:
     def lookup(self, distinct, first, data, starts, ends) -> list[bytes]:
         keys = distinct.tolist()
         blobs = list(map(self.known.get, keys))
-        missing = [i for i, blob in enumerate(blobs) if blob is None]
+        missing = []
+        for i in [i for i, blob in enumerate(blobs) if blob is None]:
+            blob = self.older.pop(keys[i], None)
+            if blob is None:
+                missing.append(i)
+            else:
+                blobs[i] = self.known[keys[i]] = blob
         if missing:
             raw = data.tobytes()
             rows = first[missing]
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
-            if len(self.known) + len(texts) > self.most:
-                self.known.clear()
             for i, text, ids in zip(missing, texts, self.encode(texts), strict=True):
-                blobs[i] = blob = np.asarray(ids, self.dtype).tobytes()
+                blobs[i] = blob = array(self.typecode, ids).tobytes()
                 if len(text) <= self.LONG:
                     self.known[keys[i]] = blob
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
         return blobs
 
 
