@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_roundtrip, chat_format, line_dedup, minhash_dedup, packing, token_counts, topk_search, toxicity
-from .runtime import table
+from . import bpe_roundtrip, chat_format, line_dedup, minhash_dedup, packing, token_counts, topk_search, toxicity, warc
+from .runtime import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,25 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
+g as (select html, max(page_id) top from p group by 1),
+d as (
+  select p.*, top, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, 5 * cast(i as integer) + 1, 5) as bigint) >> s) & 31) as integer) + 1, 1)), '')), '') digest
+  from p join g on g.html = p.html)
+select page_id, cast(strlen(html) as bigint) payload_bytes, digest payload_digest,
+  case when page_id <> top then 'revisit' else 'response' end record_type, case when page_id <> top then top end refers_to
+from d
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -122,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_maxscore_topk": op5_maxscore_topk,
+        "op6_warc_roundtrip": op6_warc_roundtrip,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_chat_format": op8_chat_format,
         "op9_toxicity": op9_toxicity,
@@ -130,4 +150,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_maxscore_topk": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_maxscore_topk": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_chat_format": OP8_SQL}
