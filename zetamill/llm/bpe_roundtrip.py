@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,12 +84,12 @@ class ByteBpe:
         self.decimal_pool = np.frombuffer(b"".join(decimals), np.uint8)
         self.cache = UnitCache(self.encode_many, "I")
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; every match of the pattern is encoded separately."""
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers; every match of the pattern is encoded separately."""
         parts = [self.find(t) for t in texts]
         mapped = [p.encode("utf-8").decode("latin-1").translate(_TO_CHARS) for ps in parts for p in ps]
         ids = iter(self.model.encode(mapped, out_type=int, num_threads=1) if mapped else [])
-        return [[i for _ in ps for i in next(ids)] for ps in parts]
+        return [array("I", [i for _ in ps for i in next(ids)]).tobytes() for ps in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.pool, self.begin[ids], self.size[ids]).tobytes()

@@ -14,8 +14,6 @@ get longer, never wrong.
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 
 from .textkernel import _power_tables, mix64
@@ -97,7 +95,7 @@ def gather(pool: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 class UnitCache:
-    """What a worker has already encoded: unit hash -> bytes of its ids.
+    """What a worker has already encoded: unit hash -> bytes of its ids, as encode(texts) gives them.
 
     It lives as long as the worker process and is only a cache of two generations with at most `most` units each:
     when the younger is full it becomes the older, and units of the older that are met again move back.
@@ -139,8 +137,8 @@ class UnitCache:
             raw = data.tobytes()
             rows = first[missing]
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
-            for i, text, ids in zip(missing, texts, self.encode(texts), strict=True):
-                blobs[i] = blob = array(self.typecode, ids).tobytes()
+            for i, text, blob in zip(missing, texts, self.encode(texts), strict=True):
+                blobs[i] = blob
                 if len(text) <= self.LONG:
                     self.known[keys[i]] = blob
         if len(self.known) > self.most:
