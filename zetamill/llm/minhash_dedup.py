@@ -222,5 +222,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Rows that repeat a doc_id leave one row.  Rows with a null doc_id stay.  All columns stay as they are.
     """
     kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
-    return named.join(kept, named.doc_id == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
