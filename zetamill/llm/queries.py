@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_roundtrip, chat_format, line_dedup, minhash_dedup, packing, token_counts, topk_search, toxicity, warc
+from . import bpe_roundtrip, chat_format, image_match, line_dedup, minhash_dedup, packing, token_counts, topk_search, toxicity, warc
 from .runtime import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_match.image_copies(image_match.media_of(table(spark, sf_dir, "embeddings")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -139,6 +143,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_image_copies": op3_image_copies,
         "op4_token_counts": op4_token_counts,
         "op5_maxscore_topk": op5_maxscore_topk,
         "op6_warc_roundtrip": op6_warc_roundtrip,
