@@ -118,6 +118,28 @@ def against_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(b), "dim", "left").select("*", F.coalesce(delta, F.lit(0.0)).alias("delta_bpk"), F.coalesce(fewer, F.lit(0.0)).alias("edge_reduction_pct"))
 
 
+def depth_profile(depths: DataFrame) -> DataFrame:
+    """Sharing rate by place in the key, of by-depth counters with the number of levels."""
+    rate = F.coalesce(F.col("memo_hits") / F.nullif("finalize_calls", F.lit(0)), F.lit(0.0))
+    return depths.select("cfg", "depth", (F.col("depth") / F.col("levels")).alias("normalized_depth"), rate.alias("sharing_rate"), "dawg_edges")
+
+
+def capped_histogram(histogram: DataFrame, most: int = 20) -> DataFrame:
+    """An in-degree histogram with all degrees above `most` in its last bar."""
+    return histogram.groupBy("cfg", F.least(F.col("in_degree"), F.lit(most)).alias("in_degree")).agg(F.sum("node_count").alias("node_count"))
+
+
+def size_ratio(runs: DataFrame) -> DataFrame:
+    """Each row's bytes over the bytes of its keys as they are."""
+    raw = F.col("n_unique_keys") * F.col("dim") * bits_per_coordinate() / 8
+    return runs.withColumn("ratio", F.col("total_bytes") / F.nullif(raw, F.lit(0.0)))
+
+
+def nearest_thresholds(wanted: list[float], there: list[float], most: int = 4) -> list[float]:
+    """Of the thresholds that are there, those nearest to the wanted ones, without repeats."""
+    return list(dict.fromkeys(min(there, key=lambda t: (abs(t - w), t)) for w in wanted))[:most] if there else []
+
+
 def truth_cell(queries: Column, mismatches: Column) -> Column:
     return F.when(queries == 0, "n/a").when(mismatches == 0, "OK").otherwise(F.concat(F.lit("FAIL "), mismatches, F.lit("/"), queries))
 

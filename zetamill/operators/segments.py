@@ -168,6 +168,16 @@ def width_histogram(widths: DataFrame) -> DataFrame:
     return counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("width", "n"))), lambda s: F.concat_ws(":", s["width"], s["n"])), ";").alias("width_histogram"))
 
 
+def plan_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Number of segments and first width of each plan in rows(*by, segment_idx, width)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("segments"), F.min_by("width", "segment_idx").alias("first_width"))
+
+
+def with_rho(rows: DataFrame) -> DataFrame:
+    """rows(cardinality, n, group_bits, rho) with rho filled in where it is null."""
+    return rows.withColumn("rho", F.coalesce("rho", F.col("cardinality") / symbol_capacity(F.col("n"), F.col("group_bits"))))
+
+
 def moving_mean(table: DataFrame, by: list[str], order: str, value: str, window: int) -> DataFrame:
     """Centred moving mean of an odd window, the ends repeated beyond the edges, clipped to [0, 1]."""
     half = max(1, window) // 2

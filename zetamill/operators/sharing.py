@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zetamill.functions.encoding import bit_width, compressed_bytes, fixed_bytes
+from zetamill.session import materialise
 
 
 def _pair(x: Column) -> tuple[Column, Column]:
@@ -36,8 +37,12 @@ class Automaton:
     edges: DataFrame
 
 
-def build(keyed: DataFrame) -> Automaton:
-    """keyed(cfg, k, widths): distinct keys of each configuration, all keys of one having one length."""
+def build(keyed: DataFrame, keep: bool = False) -> Automaton:
+    """keyed(cfg, k, widths): distinct keys of each configuration, all keys of one having one length.
+
+    keep writes keys, nodes and edges to the checkpoint folder, for statistics that go through them several times.
+    """
+    keyed = materialise(keyed) if keep else keyed
     padded = keyed.select("cfg", F.rpad("k", F.aggregate("widths", F.lit(0), lambda s, w: s + w), "0").alias("k"), "widths")
     ends = F.transform(F.sequence(F.lit(1), F.size("widths")), lambda i: F.aggregate(F.slice("widths", 1, i), F.lit(0), lambda s, w: s + w))
     rows = padded.select("cfg", "k", "widths", F.posexplode(ends).alias("d", "stop"))
@@ -52,7 +57,7 @@ def build(keyed: DataFrame) -> Automaton:
     node = ["cfg", "d", "p1", "p2"]
     nodes = trie.groupBy(*node).agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
     edges = trie.groupBy(*node, "label").agg(F.bit_xor("y1").alias("c1"), F.bit_xor("y2").alias("c2"), F.first("w").alias("w"), F.first("last").alias("last"))
-    return Automaton(trie, nodes, edges)
+    return Automaton(trie, materialise(nodes), materialise(edges)) if keep else Automaton(trie, nodes, edges)
 
 
 def classes(a: Automaton) -> DataFrame:

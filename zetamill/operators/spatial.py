@@ -35,15 +35,24 @@ def box_by_key(keyed: DataFrame, low: list[float], high: list[float], dims: int)
     return box(keyed.where(F.col("k").between(F.lit(bytes(z.a)), F.lit(bytes(z.b)))), low, high)
 
 
-def box_batch(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def box_batch(vectors: DataFrame, queries: DataFrame, most_cells: int = 16) -> DataFrame:
     """(qid, vec_id) for all boxes of queries(qid, lo, hi).
 
-    A box is a condition, not a key, so queries and vectors are joined block by block: queries are the small side,
-    and a scalar condition on the first component goes before the whole box.
+    The first component's axis is cut into cells of the boxes' median width there; a box is joined by the cells that
+    it touches, an equi-join, and then tested whole.  Only boxes that touch more than most_cells cells (or are
+    infinite) are joined by their condition alone.
     """
-    first = (F.col("embedding")[0] >= F.col("lo")[0]) & (F.col("embedding")[0] <= F.col("hi")[0])
+    low, high, x = F.col("lo")[0].cast("double"), F.col("hi")[0].cast("double"), F.col("embedding")[0].cast("double")
+    width = queries.agg(F.percentile_approx(high - low, 0.5)).first()[0]
     whole = inside(F.col("embedding"), F.col("lo"), F.col("hi"))
-    return vectors.join(queries, first & whole).select("qid", "vec_id")
+    if width is None or not 0 < width < float("inf"):
+        return vectors.join(queries, whole).select("qid", "vec_id")
+    finite = (F.abs(low) < 1e15 * width) & (F.abs(high) < 1e15 * width)
+    narrow = F.coalesce(finite & (F.floor(high / width) - F.floor(low / width) < most_cells), F.lit(False))
+    cells = queries.where(narrow & (low <= high)).withColumn("cell", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    placed = vectors.where(F.abs(x) < 1e15 * width).withColumn("cell", F.floor(x / width))
+    by_cell = placed.join(cells, "cell").where(whole).select("qid", "vec_id")
+    return by_cell.unionByName(vectors.join(queries.where(~narrow), whole).select("qid", "vec_id"))
 
 
 def nearest(vectors: DataFrame, point: list[float], k: int) -> DataFrame:
@@ -79,6 +88,11 @@ def dimension_order(limits: DataFrame) -> DataFrame:
     return limits.select("dim", width.alias("width"), F.row_number().over(Window.orderBy(width, "dim")).alias("place"))
 
 
+def sample_rows(vectors: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows drawn without replacement, the same for the same seed: those with the least hashes of seed and id."""
+    return vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(n)
+
+
 def count_in_prefix(vectors: DataFrame, low: list[float], high: list[float], n: int, stop: int | None = None) -> DataFrame:
     """How many of the first n vectors (by vec_id) lie in a box; counting ends after stop + 1 where stop is given."""
     hits = box(vectors.where(F.col("vec_id") < n), low, high)

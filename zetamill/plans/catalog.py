@@ -477,7 +477,7 @@ def q_shared_nodes(spark, d):
 
 @query(f"{STRUCTURE}, {o.PATHS} select *, {o.compressed_bytes()} as total_bytes from pc")
 def q_pc_stats(spark, d):
-    return sharing.compressed_size(sharing.path_compression(sharing.build(keyed(spark, d))))
+    return sharing.compressed_size(sharing.path_compression(sharing.build(keyed(spark, d), keep=True)))
 
 
 SEGMENT_COUNTS = {cfg: len(w) for cfg, _, _, w in SETS}
@@ -487,7 +487,7 @@ SEGMENT_COUNTS = {cfg: len(w) for cfg, _, _, w in SETS}
   case cfg {' '.join(f"when '{c}' then {n}" for c, n in SEGMENT_COUNTS.items())} end * 8 + 4 as plan_bytes from pc), s as (select *, label_bits + label_offset_bits + label_length_bits + non_label_metadata_bits as bits from b)
 select * exclude (bits, plan_bytes), cast(plan_bytes as bigint) as plan_bytes, cast(ceil(bits / 8.0) as bigint) as bitvector_bytes, cast(ceil(bits / 8.0) + plan_bytes as bigint) as total_bytes, round(label_bits / edges, 8) as avg_label_bits, round((label_offset_bits + label_length_bits) / bits, 8) as label_metadata_share from s""")
 def q_dynamic_size(spark, d):
-    pc = sharing.path_compression(sharing.build(keyed(spark, d)))
+    pc = sharing.path_compression(sharing.build(keyed(spark, d), keep=True))
     n = F.create_map(*[F.lit(x) for pair in SEGMENT_COUNTS.items() for x in pair])[F.col("cfg")]
     return sharing.dynamic_size(pc, n)
 
@@ -510,7 +510,7 @@ def sweep(spark, d):
     grid = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(gb).alias("gb")) for n in (100, 200, 400) for gb in (4, 8, 16)])
     rows = ranked.withColumn("g", F.explode(grid)).where("r <= g.n").select("dim", "dtype", "n_bits", "k", "g.n", "g.gb")
     cfg = F.concat_ws("/", "dim", "dtype", "n", "gb")
-    a = sharing.build(rows.select(cfg.alias("cfg"), "k", sharing.uniform_widths(F.col("n_bits"), F.col("gb")).alias("widths")))
+    a = sharing.build(rows.select(cfg.alias("cfg"), "k", sharing.uniform_widths(F.col("n_bits"), F.col("gb")).alias("widths")), keep=True)
     sizes = rows.groupBy(cfg.alias("cfg"), "dim", "dtype", "n_bits", "n", "gb").agg(F.count("*").alias("n_unique_keys"))
     s = sharing.suffix_collapse(sharing.summary(a).join(sizes, "cfg"), F.col("gb"), F.col("n_unique_keys"), F.col("n_bits"))
     common = ["dim", "dtype", F.col("n").alias("n_keys"), "n_unique_keys", F.col("gb").alias("group_bits")]
@@ -780,7 +780,7 @@ def plan_candidates(spark, d):
     for name, widths in plans.items():
         part = sample.select(F.lit(name).alias("cfg"), "k", F.array(*[F.lit(w) for w in widths]).alias("widths"))
         rows = part if rows is None else rows.unionByName(part)
-    pc = sharing.path_compression(sharing.build(rows))
+    pc = sharing.path_compression(sharing.build(rows, keep=True))
     n = F.create_map(*[F.lit(x) for name, widths in plans.items() for x in (name, len(widths))])[F.col("cfg")]
     return sharing.dynamic_size(pc, n).select("cfg", (F.col("total_bytes") / 200 / 8).alias("sample_normalized_bpk"))
 
@@ -790,6 +790,46 @@ def q_sampled_best(spark, d):
     return plan_candidates(spark, d).orderBy("sample_normalized_bpk", "cfg").limit(1)
 
 
+@query(f"{STRUCTURE}, dep as ({BY_DEPTH}) select cfg, depth, round(depth / (select max(len(widths)) from keyed k where k.cfg = dep.cfg), 8) as normalized_depth, round(memo_hits / finalize_calls, 8) as sharing_rate, dawg_edges from dep")
+def q_depth_profile(spark, d):
+    k = keyed(spark, d)
+    levels = k.groupBy("cfg").agg(F.max(F.size("widths")).alias("levels"))
+    return report.depth_profile(sharing.by_depth(sharing.build(k)).join(F.broadcast(levels), "cfg"))
+
+
+@query(f"{STRUCTURE}, h as (select cfg, in_degree, count(*) n from i group by 1, 2) select cfg, least(in_degree, 5) as in_degree, cast(sum(n) as bigint) as node_count from h group by 1, 2")
+def q_indegree_capped(spark, d):
+    return report.capped_histogram(sharing.in_degree_histogram(sharing.build(keyed(spark, d))), 5)
+
+
+@query(f"{RUNS}, b as (select dim, dtype, n_keys, n_unique_keys * dim * case dtype when 'float16' then 16 else 32 end / 8 as raw from runs group by all) select r.dim, r.dtype, r.n_keys, r.method, round(r.total_bytes / b.raw, 8) as ratio from runs r join b on b.dim = r.dim and b.dtype = r.dtype and b.n_keys = r.n_keys")
+def q_size_ratio(spark, d):
+    return report.size_ratio(sweep(spark, d)).select("dim", "dtype", "n_keys", "method", "ratio")
+
+
+@query(f"with {CHUNK_SQL} select start_bit, round(max(case when group_bits = 4 then rho end), 8) as w4, round(max(case when group_bits = 8 then rho end), 8) as w8, round(max(case when group_bits = 16 then rho end), 8) as w16 from card where group_bits < 24 group by 1")
+def q_saturation_curves(spark, d):
+    rho = segments.cardinality(bits(spark, d), 64, [4, 8, 16])
+    return report.pivot_table(rho, "start_bit", "group_bits", [4, 8, 16], "rho").select("start_bit", F.col("4").alias("w4"), F.col("8").alias("w8"), F.col("16").alias("w16"))
+
+
+@query("select * from (values ('phase', 6, 12), ('uniform', 3, 24)) t(plan, segments, first_width)")
+def q_segment_summary(spark, d):
+    both = segments.plan(spark, segments.phase_aware(64, middle_width=8)).withColumn("plan", F.lit("phase")).unionByName(segments.plan(spark, segments.uniform(24, 64)).withColumn("plan", F.lit("uniform")))
+    return segments.plan_summary(both, ["plan"])
+
+
+@query()
+def q_retry_histogram(spark, d):
+    found = spatial.exact_match_queries(vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("embedding")), 300, 2, 20, seed=9)
+    return found.groupBy("retries").agg(F.count("*").alias("queries"))
+
+
+@query()
+def q_sample_rows(spark, d):
+    return spatial.sample_rows(vectors(spark, d), 25, seed=4).select("vec_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
