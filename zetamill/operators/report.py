@@ -118,6 +118,25 @@ def against_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(b), "dim", "left").select("*", F.coalesce(delta, F.lit(0.0)).alias("delta_bpk"), F.coalesce(fewer, F.lit(0.0)).alias("edge_reduction_pct"))
 
 
+def best_fixed(fixed: DataFrame, bytes_column: str, edges_column: str, prefix: str) -> DataFrame:
+    """One row: group bits, bytes per key and edges of the fixed width of least size, ties to the smaller width."""
+    best = fixed.orderBy(bytes_column, "group_bits").limit(1)
+    return best.select(F.col("group_bits").alias(f"best_{prefix}_storage_group_bits"), F.col(bytes_column).alias(f"best_{prefix}_bytes_per_key"), F.col(edges_column).alias(f"best_{prefix}_edges"))
+
+
+def against_fixed(rows: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Variable-width rows(bytes_per_key, edges, ...) against the best fixed widths of both kinds.
+
+    fixed has group_bits and, for path-compressed (pc) and plain (cd) automata, bytes per key and edges.
+    """
+    for prefix in ("pc", "cd"):
+        rows = rows.crossJoin(F.broadcast(best_fixed(fixed, f"{prefix}_bytes_per_key", f"{prefix}_edges", prefix)))
+        b, e = F.col(f"best_{prefix}_bytes_per_key"), F.col(f"best_{prefix}_edges")
+        rows = rows.withColumn(f"delta_vs_best_{prefix}_bpk", F.coalesce((F.col("bytes_per_key") - b) / F.nullif(b, F.lit(0.0)), F.lit(0.0)))
+        rows = rows.withColumn(f"edge_reduction_vs_best_{prefix}_pct", F.coalesce(100.0 * (e - F.col("edges")) / F.nullif(e, F.lit(0)), F.lit(0.0)))
+    return rows
+
+
 def depth_profile(depths: DataFrame) -> DataFrame:
     """Sharing rate by place in the key, of by-depth counters with the number of levels."""
     rate = F.coalesce(F.col("memo_hits") / F.nullif("finalize_calls", F.lit(0)), F.lit(0.0))

@@ -830,6 +830,35 @@ def q_sample_rows(spark, d):
     return spatial.sample_rows(vectors(spark, d), 25, seed=4).select("vec_id")
 
 
+DYNAMIC = [("uniform-8", 2, False, [8] * 8), ("uniform-16", 2, False, [16] * 4), ("phase_aware", 2, False, segments.phase_aware(64, middle_width=8)), ("manual", 2, False, PLAN)]
+FIXED = [(f"fixed-{g}", 2, False, [g] * (64 // g)) for g in (4, 8, 16, 32)]
+PLAN_TEXT = {name: (len(w), ";".join(f"{x}:{w.count(x)}" for x in sorted(set(w)))) for name, _, _, w in DYNAMIC}
+
+
+def _best(prefix: str) -> str:
+    return f"(select group_bits as best_{prefix}_storage_group_bits, {prefix}_bytes_per_key as best_{prefix}_bytes_per_key, {prefix}_edges as best_{prefix}_edges from fixed order by {prefix}_bytes_per_key, group_bits limit 1)"
+
+
+@query(f"""with {o.structure(keyed_sql(DYNAMIC + FIXED))}, {o.PATHS}, total as (select count(*) n_keys from {o.keys(2)}),
+fixed as (select cast(substr(cfg, 7) as bigint) as group_bits, {o.compressed_bytes()} / n_keys as pc_bytes_per_key, pc_edges, {o.fixed_bytes('edges', "cast(substr(cfg, 7) as bigint)")} / n_keys as cd_bytes_per_key, edges as cd_edges from pc, total where cfg like 'fixed-%'),
+dyn as (select cfg as segmentation_method, n_keys, cast(case cfg {' '.join(f"when '{k}' then {v[0]}" for k, v in PLAN_TEXT.items())} end as bigint) as n_segments, case cfg {' '.join(f"when '{k}' then '{v[1]}'" for k, v in PLAN_TEXT.items())} end as width_histogram,
+  pc_edges as edges, label_bits, cast({o.compressed_bytes()} + 8 * case cfg {' '.join(f"when '{k}' then {v[0]}" for k, v in PLAN_TEXT.items())} end + 4 as bigint) as total_bytes from pc, total where cfg not like 'fixed-%')
+select segmentation_method, n_keys, n_segments, width_histogram, edges, label_bits, total_bytes, round(total_bytes / n_keys, 8) as bytes_per_key, round(total_bytes / n_keys / 8, 8) as normalized_bpk,
+  best_pc_storage_group_bits, round(best_pc_bytes_per_key, 8) as best_pc_bytes_per_key, best_pc_edges, round((total_bytes / n_keys - best_pc_bytes_per_key) / best_pc_bytes_per_key, 8) as delta_vs_best_pc_bpk, round(100.0::double * (best_pc_edges - edges) / best_pc_edges, 8) as edge_reduction_vs_best_pc_pct,
+  best_cd_storage_group_bits, round(best_cd_bytes_per_key, 8) as best_cd_bytes_per_key, best_cd_edges, round((total_bytes / n_keys - best_cd_bytes_per_key) / best_cd_bytes_per_key, 8) as delta_vs_best_cd_bpk, round(100.0::double * (best_cd_edges - edges) / best_cd_edges, 8) as edge_reduction_vs_best_cd_pct
+from dyn, {_best('pc')}, {_best('cd')}""")
+def q_dynamic_sweep(spark, d):
+    n = bits(spark, d).count()
+    pc = sharing.path_compression(sharing.build(keyed(spark, d, DYNAMIC + FIXED), keep=True))
+    gb = F.substring_index("cfg", "-", -1).cast("int")
+    fixed = sharing.compressed_size(pc.where(F.col("cfg").startswith("fixed-"))).select(gb.alias("group_bits"), (F.col("total_bytes") / n).alias("pc_bytes_per_key"), "pc_edges", (fn.fixed_bytes(F.col("edges"), gb) / n).alias("cd_bytes_per_key"), F.col("edges").alias("cd_edges"))
+    texts = spark.createDataFrame([(k, *v) for k, v in PLAN_TEXT.items()], "cfg string, n_segments int, width_histogram string")
+    own = pc.where(~F.col("cfg").startswith("fixed-")).join(F.broadcast(texts), "cfg")
+    sizes = sharing.dynamic_size(own, F.element_at(F.create_map(*[F.lit(x) for k, v in PLAN_TEXT.items() for x in (k, v[0])]), F.col("cfg")))
+    rows = sizes.join(F.broadcast(texts), "cfg").select(F.col("cfg").alias("segmentation_method"), F.lit(n).cast("long").alias("n_keys"), "n_segments", "width_histogram", "edges", "label_bits", "total_bytes", (F.col("total_bytes") / n).alias("bytes_per_key"), (F.col("total_bytes") / n / 8).alias("normalized_bpk"))
+    return report.against_fixed(rows, fixed)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
