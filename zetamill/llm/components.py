@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from .runtime import cut
 
 
+def _spread(least: DataFrame) -> DataFrame:
+    """The table of least neighbours, dealt by u once more before a join.
+
+    A join side that is an exchange of its own, and not the aggregate below it, is one that adaptive execution splits
+    when the other side has very many rows of one u.
+    """
+    return least.withColumn("u", F.col("u").bitwiseOR(F.lit(0).cast("long")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("v > u").join(_spread(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = down.join(_spread(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
