@@ -53,6 +53,13 @@ def test_csv_points_and_results(spark, tmp_path):
     assert "b,a\n2,1\n" in [p.read_text() for p in (tmp_path / "csv").glob("part-*.csv")]
 
 
+def test_result_files(spark, tmp_path):
+    assert {k: len(v.split(",")) for k, v in vf.RESULT_COLUMNS.items()} == {"sweep": 24, "sharing_summary": 16, "sharing_depth": 9, "in_degree": 5, "dynamic": 42, "range_queries": 20, "chunks": 9, "segments": 10}
+    vf.write_result(spark.createDataFrame([(4, 1, 0.5)], "group_bits int, chunk int, rho double"), str(tmp_path / "c"), "chunks", {"group_bits": "group_width", "chunk": "chunk_idx", "rho": "cardinality_over_kmax"})
+    (row,) = spark.read.csv(str(tmp_path / "c"), header=True).collect()
+    assert row.asDict() == dict.fromkeys(vf.RESULT_COLUMNS["chunks"].split(",")) | {"group_width": "4", "chunk_idx": "1", "cardinality_over_kmax": "0.5"}
+
+
 def test_ordered_maps():
     x = np.array([-np.inf, -3.5, -1e-40, -0.0, 0.0, 1e-40, 2.25, 65504.0, 70000.0, np.inf], np.float32)
     o = encoding.ordered_u32(x)

@@ -17,9 +17,17 @@ from pyspark.sql import types as T
 ITEM_BYTES = {"float32": 4, "float16": 2}
 _ROW = T.StructType([T.StructField("record", T.BinaryType()), T.StructField("vec_id", T.LongType())])
 
-#: Fixed column lists of the result tables.
-SWEEP_COLUMNS = ["dim", "dtype", "n_keys", "n_unique_keys", "group_bits", "method", "total_bytes", "bytes_per_key", "edges"]
-SUMMARY_COLUMNS = ["cfg", "finalize_calls", "memo_hits", "unique_nodes", "trie_edges", "dawg_edges", "sharing_ratio", "node_reduction", "edge_saving_pct"]
+# The columns of the result files, in order.
+RESULT_COLUMNS = {
+    "sweep": "timestamp,dim,dtype,n_keys,n_unique_keys,group_bits,method,total_bytes,bytes_per_key,edges,trie_edges_before_suffix_collapse,dawg_edges_after_suffix_collapse,pre_suffix_total_bytes,pre_suffix_bytes_per_key,pre_suffix_normalized_bpk,post_suffix_normalized_bpk,suffix_collapse_saved_bytes_per_key,suffix_collapse_saved_normalized_bpk,suffix_collapse_saving_pct,morton_encode_s,sort_dedup_s,insert_s,finish_s,total_build_s",
+    "sharing_summary": "dim,n_keys,n_unique_keys,group_bits,finalize_calls,memo_hits,unique_nodes,trie_edges,dawg_edges,sharing_ratio,node_reduction,edge_saving_pct,total_bytes,bytes_per_key,node_count,shared_nodes",
+    "sharing_depth": "dim,n_keys,group_bits,depth,normalized_depth,finalize_calls,memo_hits,sharing_rate,dawg_edges",
+    "in_degree": "dim,n_keys,group_bits,in_degree,node_count",
+    "dynamic": "timestamp,dim,dtype,n_keys,n_unique_keys,rho_threshold,segmentation_method,n_segments,total_bytes,bytes_per_key,normalized_bpk,edges,plan_s,insert_s,finish_s,total_build_s,best_pc_storage_group_bits,best_pc_bytes_per_key,best_pc_edges,best_pc_build_group_bits,best_pc_total_build_s,delta_vs_best_pc_bpk,delta_vs_best_pc_build_s,edge_reduction_vs_best_pc_pct,best_cd_storage_group_bits,best_cd_bytes_per_key,best_cd_edges,best_cd_build_group_bits,best_cd_total_build_s,delta_vs_best_cd_bpk,delta_vs_best_cd_build_s,edge_reduction_vs_best_cd_pct,label_bits,label_offset_bits,label_length_bits,plan_bytes,non_label_metadata_bits,selected_sample_method,sample_normalized_bpk,avg_label_bits,label_metadata_share,width_histogram",
+    "range_queries": "timestamp,dimensions,total_points,key_step,queries_per_step,matches_per_query,encode_s,group_bits,n_keys,queries_run,sort_s,build_s,size_bytes,avg_query_ms,gt_queries,gt_mismatches,data_file,lower_file,upper_file,ground_truth_file",
+    "chunks": "dim,n_keys,group_width,chunk_idx,chunk_start_bit,total_bits,cardinality,cardinality_over_n,cardinality_over_kmax",
+    "segments": "dim,n_keys,total_bits,threshold,segment_idx,segment_start_bit,segment_width,cardinality,cardinality_over_n,cardinality_over_kmax",
+}
 
 
 def file_rows(spark: SparkSession, path: str, dims: int, dtype: str = "float32") -> int:
@@ -121,6 +129,14 @@ def write_csv(table: DataFrame, path: str, columns: list[str]) -> None:
     table.select(*columns).write.mode("overwrite").csv(path, header=True)
 
 
+def write_result(table: DataFrame, path: str, kind: str, names: dict[str, str] | None = None) -> None:
+    """table as a result file of a kind of RESULT_COLUMNS, after renaming by names; columns it lacks (such as timings,
+    which mean nothing for a distributed plan) are empty."""
+    table = table.withColumnsRenamed(names or {})
+    columns = RESULT_COLUMNS[kind].split(",")
+    table.select(*[F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
+
+
 def write_truth(matches: DataFrame, path: str) -> None:
     """Blocks "[id: q, count: n]" with a line for each match of (qid, embedding), matches in order of their values."""
     lines = matches.groupBy("qid").agg(F.array_sort(F.collect_list("embedding")).alias("rows"))
