@@ -81,8 +81,8 @@ def _sketches(k: int):
                 prints = [set_fingerprint(s) if len(s) else (None, None) for s in sets]
                 bands = [band_keys(sketch(s)).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(bands, pa.binary())],
-                    names=["doc_id", "n_shingles", "fa", "fb", "bands"],
+                    [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(bands, pa.binary())],
+                    names=["doc_id", "n_shingles", "n_bytes", "fa", "fb", "bands"],
                 )
 
     return run
@@ -153,7 +153,8 @@ def _compare(k: int, percent: int):
 
 
 def _links(tasks: DataFrame, k: int, percent: int) -> DataFrame:
-    return tasks.groupBy("comp", "chunk").applyInArrow(_compare(k, percent), "a long, b long")
+    # Rows that are already dealt by comp alone would not be dealt again, and one component's chunks would share a task.
+    return tasks.repartition("comp", "chunk").groupBy("comp", "chunk").applyInArrow(_compare(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     An empty table gives an empty table.  Similarities equal to the threshold are links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = cut(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, fa long, fb long, bands binary"))
+    hashed = cut(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, n_bytes long, fa long, fb long, bands binary"))
     linked = hashed.where("doc_id is not null and fa is not null")
     classes = linked.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     members = cut(linked.select("doc_id", "fa", "fb").distinct().join(classes, ["fa", "fb"]).select("doc_id", "rep"))
@@ -176,14 +177,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     bands = rep_bands.select(F.col("doc_id").alias("rep"), "bands").mapInArrow(_explode_bands, "rep long, band long")
     shared = bands.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("band", "b")
     near = bands.join(shared, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    candidates = cut(connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
-
-    texts = docs.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "comp", "text")
-    texts = texts.withColumn("bytes", F.octet_length("text"))
-    texts = cut(texts)
-    sizes = texts.groupBy("comp").agg(F.sum("bytes").alias("total"))
-    sizes = sizes.select("comp", F.ceil(F.col("total") / chunk_bytes).cast("int").alias("n_chunks"))
-    placed = texts.join(sizes, "comp").drop("bytes")
+    candidates = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    sized = cut(candidates.join(linked.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_bytes").alias("n_bytes")), "rep"))
+    chunks = sized.groupBy("comp").agg(F.ceil(F.sum("n_bytes") / chunk_bytes).cast("int").alias("n_chunks"))
+    sized = cut(sized.join(chunks, "comp").select("rep", "comp", "n_bytes", "n_chunks"))
+
+    def with_text(chosen: DataFrame) -> DataFrame:
+        """chosen(rep, ...) with the texts; all joins on comp are done before, on ids alone."""
+        return docs.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+
+    placed = with_text(sized)
     slot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_chunks").cast("long")).cast("int")
     pivot = (F.col("n_chunks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) < F.lit(PIVOT_SHARE * (1 << 20)) / F.col("n_chunks"))
     # A pivot goes to every chunk, any other member to its own.
@@ -191,18 +194,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     first = cut(_links(chunked.select("comp", "chunk", "rep", F.lit(0).alias("side"), "text"), k, percent))
     parts = connected_components(first)
 
-    large = placed.where("n_chunks > 1")
+    large = sized.where("n_chunks > 1")
     links = first
     if large.limit(1).count():
-        known = cut(large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("comp", "rep", "text", "n_chunks", F.coalesce("component", "rep").alias("part")))
+        known = cut(large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("comp", "rep", "n_bytes", "n_chunks", F.coalesce("component", "rep").alias("part")))
         count = known.groupBy("comp", "part").agg(F.count("*").alias("n"))
         main = count.groupBy("comp").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"))
-        split = known.join(main, "comp")
-        strays = split.where("part <> main")
-        stray_chunks = strays.groupBy("comp").agg((F.ceil(F.sum(F.octet_length("text")) / chunk_bytes)).cast("int").alias("n_strays"))
-        split = split.join(stray_chunks, "comp")
+        split = known.join(main, "comp").withColumn("is_stray", F.col("part") != F.col("main"))
+        strays = split.where("is_stray").groupBy("comp").agg(F.ceil(F.sum("n_bytes") / chunk_bytes).cast("int").alias("n_strays"))
+        split = with_text(cut(split.join(strays, "comp").select("rep", "comp", "n_chunks", "n_strays", "is_stray")))
         side_slot = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_strays").cast("long")).cast("int")
-        left = split.where("part <> main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+        left = split.where("is_stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         left = left.select("comp", (side_slot * F.col("n_chunks") + F.col("other")).alias("chunk"), "rep", F.lit(0).alias("side"), "text")
         right = split.withColumn("stray", F.explode(F.sequence(F.lit(0), F.col("n_strays") - 1)))
         right = right.select("comp", (F.col("stray") * F.col("n_chunks") + slot).alias("chunk"), "rep", F.lit(1).alias("side"), "text")
