@@ -135,3 +135,35 @@ def test_box_batch_equals_brute_force(spark):
     boxes += [(30, [-np.inf] * 3, [np.inf] * 3), (31, [-50.0] * 3, [50.0] * 3), (32, [1.0] * 3, [0.5] * 3), (33, x[5].tolist(), x[5].tolist())]
     want = sorted((q, int(i)) for q, lo, hi in boxes for i in np.flatnonzero(((x >= np.array(lo, np.float32)) & (x <= np.array(hi, np.float32))).all(axis=1)))
     assert sorted(map(tuple, spatial.box_batch(df, spark.createDataFrame(boxes, "qid int, lo array<float>, hi array<float>")).collect())) == want
+
+
+def test_cost_aware_plan_equals_a_model(spark):
+    import math
+    from types import SimpleNamespace
+
+    ks = bit_keys(120, 24, 15)
+    n, total, want, at = len(ks), 24, [], 0
+    while at < total:
+        rows = []
+        for w in (2, 4, 8, 16):
+            if w > total - at:
+                continue
+            cardinality, changes, rho = features_of(ks, at, [w])[w]
+            p, a = cardinality / n, changes / (n - 1)
+            clog2 = lambda v: 1 if v <= 1 else math.ceil(math.log2(v))
+            cost = w / 8 + (clog2(total + 1) + clog2(w + 1) + 1) / 8 + 14 / w + (22 * rho + 12 * p + 10 * a) - (10 * (1 - rho) + 8 * (1 - p) + 8 * (1 - a))
+            cost += (-0.10 if at / total < 0.20 or at / total > 0.70 else 0.15) * w
+            rows.append(SimpleNamespace(width=w, cost=cost, rho=rho, adjacency_rate=a))
+        want.append(segments.choose_by_cost(rows, 0.8) if rows else 1)
+        at += want[-1]
+    assert segments.cost_aware(table(spark, ks), total, 0.8, 2, (2, 4, 8, 16)) == want
+
+
+def test_tightened_query_and_sample(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    low, high = spatial.tightened_query(df, x[0].tolist(), 1.5, 5, 30, seed=1)
+    assert 5 <= spatial.box(df, low, high).count() <= 30
+    one, two = (sorted(r.vec_id for r in spatial.sample_rows(df.repartition(n), 40, seed=6).collect()) for n in (1, 7))
+    assert one == two and len(set(one)) == 40
