@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textkernel import text_blocks
 from .units import UnitCache, gather, once
 
@@ -129,6 +130,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     A null text is an empty one: no ids, the digests of nothing.  A null doc_id stays null; repeated rows come out as
     often as they came in; other columns are ignored; an empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.mapInArrow(_roundtrip(ranks_path, pattern, with_ids), schema)

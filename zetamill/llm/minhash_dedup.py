@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut
+from .runtime import cut, small_batches
 from .textkernel import mix64, set_fingerprint, shingle_sets, text_blocks
 
 ROWS, BANDS = 6, 53
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     Other columns are ignored, whatever their names.
     An empty table gives an empty table.  Similarities equal to the threshold are links.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = cut(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, n_bytes long, fa long, fb long, bands binary"))
     linked = hashed.where("doc_id is not null and fa is not null")
     classes = linked.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))

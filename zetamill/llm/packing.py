@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textkernel import text_blocks
 from .units import UnitCache, load_tokenizer, once
 
@@ -187,10 +188,10 @@ class WordEncoder:
 
 def _pack(tokenizer_path: str, end_id: int, capacity: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = once(("pack", tokenizer_path), lambda: load_tokenizer(tokenizer_path))
-        sentence_end = once(("sentence ends", tokenizer_path), lambda: sentence_end_table(tokenizer))
+        tokenizer = once(("pack", "tokenizer", tokenizer_path), lambda: load_tokenizer(tokenizer_path))
+        sentence_end = once(("pack", "sentence ends", tokenizer_path), lambda: sentence_end_table(tokenizer))
         fold_case = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("ABZ") == "abz"
-        cache = once(("pack cache", tokenizer_path), lambda: UnitCache(WordEncoder(tokenizer).encode, "H", fold_case))
+        cache = once(("pack", "cache", tokenizer_path), lambda: UnitCache(WordEncoder(tokenizer).encode, "H", fold_case))
         stream = _Stream(sentence_end, capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint16)
         for batch in batches:
@@ -216,5 +217,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     of two.  A null or empty text gives end_id alone.  A null doc_id stays null; repeated rows are packed as often as
     they come; other columns are ignored; an empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pack(tokenizer_path, end_id, capacity, block), SCHEMA)

@@ -17,6 +17,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="zetamill-ckpt-"))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in a session whose Arrow batches have at most so many rows.
+
+    Rows here are whole texts, and a batch stands in memory several times (in the JVM outside the heap, in the pipe and in
+    the worker), so the default of 10,000 rows would take hundreds of MB for each task.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textkernel import text_blocks
 from .units import load_tokenizer, once, span_hashes, unit_spans
 
@@ -24,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 64_000
 TABLE_SLOTS = 1 << 18
 TABLE_UNITS = 1 << 16
 PROBES = 4
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 600_000
 LONG_UNIT = 64
 
 
@@ -72,8 +73,8 @@ def build_table(texts: list[str], tokenizer_path: str) -> FrequentTable:
 
 def _count(tokenizer_path: str, table, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = once(("counts", tokenizer_path), lambda: load_tokenizer(tokenizer_path))
-        cache: dict[int, int] = once(("count cache", tokenizer_path), dict)
+        tokenizer = once(("counts", "tokenizer", tokenizer_path), lambda: load_tokenizer(tokenizer_path))
+        cache: dict[int, int] = once(("counts", "cache", tokenizer_path), dict)
         frequent: FrequentTable = table.value
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(1)):
@@ -115,7 +116,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     out as often as they came in; other columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = max(1, docs.count())
     sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).sample(min(1.0, 1.2 * SAMPLE_DOCS / rows), seed=17).limit(SAMPLE_DOCS)
     table = spark.sparkContext.broadcast(build_table([r.text for r in sample.select("text").collect()], tokenizer_path))

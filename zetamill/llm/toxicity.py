@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textkernel import _power_tables, mix64
 from .units import gather, once
 
@@ -44,7 +45,7 @@ SPAN, DECAY = 6, 0.6
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 6_000, 3_000
 BEGINNINGS = (3, 4, 5, 6)
 PIECE, PIECE_STEP = 20, 8
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 BLOCK_CHARS = 1 << 20
 
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
@@ -88,7 +89,7 @@ class Words:
 
 def cut_words(texts: list[str]) -> Words:
     """Words of the texts; those above PIECE characters are cut into overlapping pieces."""
-    classes = once(("character classes",), _classes)
+    classes = once(("toxicity", "classes"), _classes)
     lowered = [t.lower() for t in texts]
     sizes = np.array([len(t) + 1 for t in lowered], np.int64)
     chars = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32) if texts else np.zeros(0, np.uint32)
@@ -217,7 +218,7 @@ def _features(word: str) -> list[str]:
 
 def _pairs(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (left, right), right < n, in order."""
-    both = np.unique(left * n + right)
+    both = np.unique(left.astype(np.int64) * n + right)
     return both // n, both % n
 
 
@@ -306,9 +307,9 @@ def _vocabulary(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         new = [i for i, n in enumerate(known) if n >= len(names)]
         names += words.some(first[new]).texts()
         d, w = _pairs(np.repeat(np.arange(len(words.at) - 1), np.diff(words.at)), np.array(known, np.int64)[code] if known else code, max(1, len(number)))
-        docs.append(d + begin)
-        ids.append(w)
-    return names, np.concatenate(docs) if docs else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        docs.append((d + begin).astype(np.int32))
+        ids.append(w.astype(np.int32))
+    return names, np.concatenate(docs) if docs else np.zeros(0, np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32)
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> Model | None:
@@ -451,14 +452,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     came in; other columns are ignored; an empty table gives an empty table; predicted is 1 from a score of 0.5.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose text is predicted toxic; all columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_keep_clean(model, docs.columns.index("text")), docs.schema)
+    return small_batches(docs).mapInArrow(_keep_clean(model, docs.columns.index("text")), docs.schema)
 
 
 def _keep_clean(shared, column: int):

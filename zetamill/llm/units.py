@@ -104,7 +104,7 @@ class UnitCache:
 
     LONG = 64
 
-    def __init__(self, encode, typecode: str, fold_case: bool = False, most: int = 700_000) -> None:
+    def __init__(self, encode, typecode: str, fold_case: bool = False, most: int = 350_000) -> None:
         self.encode, self.typecode, self.fold_case, self.most = encode, typecode, fold_case, most
         self.dtype = np.dtype(typecode)
         self.known: dict[int, bytes] = {}
@@ -150,7 +150,13 @@ _loaded: dict[tuple, object] = {}
 
 
 def once(key: tuple, make):
-    """make() the first time in this worker process, then the same object."""
+    """make() the first time in this worker process, then the same object.
+
+    key begins with the operator's name.  A worker that turns to another operator drops what it held for the one
+    before, so the caches of different operators don't add up.
+    """
+    if _loaded and next(iter(_loaded))[0] != key[0]:
+        _loaded.clear()
     if key not in _loaded:
         _loaded[key] = make()
     return _loaded[key]
