@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,3 +51,18 @@ def test_digests_equal_brute_force(spark):
     got = chat.conversation_digests(chat.format_conversations(df)).collect()
     assert {r.conv_id: tuple(r)[1:] for r in got} == brute(rows) and len(got) == len(brute(rows))
     assert chat.conversation_digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_templates_see_the_whole_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(70)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(r, x) for _, _, r, x in rows]
+    prologue = lambda ts: "BOS" + "".join(f"{i}{r}:{x};" for i, (r, x) in enumerate(ts))
+    (row,) = chat.format_conversations(df, prologue).collect()
+    assert row.formatted == prologue(turns) and row.n_turns == 70 and not row.rewrites
+    assert [row.formatted[a:b] for a, b in zip(row.text_starts, row.text_ends)] == [x for _, x in turns]
+    drops = lambda ts: "".join(f"{x};" for _, x in ts[-40:])
+    assert chat.format_conversations(df, drops).first().rewrites
+    with pytest.raises(Exception, match="give no segment"):
+        chat.format_conversations(df, prologue, segment=32).collect()
+    assert [r.n_turns for r in chat.format_conversations(df, segment=32).collect()] == [32, 32, 6]

@@ -5,9 +5,11 @@ rendered and consecutive outputs compared: what a turn adds is its span, and an
 before it shows a template that rewrites history.  Where a turn's text stands inside its span is found by rendering
 the turn with two different one-letter texts: what these outputs share before and after is the turn's frame.
 
-Conversations are streamed: rows are dealt by conversation and sorted by turn, and a conversation is rendered in
-segments of at most SEGMENT turns, so the memory and the number of renderings of a very long conversation are
-bounded by the segment.  Templates must render a segment as they would render it inside the conversation.
+Conversations are streamed: rows are dealt by conversation and sorted by turn.  Prefixes are those of the whole
+conversation, which a task holds, and its renderings grow with the square of its turns.  For a template that renders
+turns independently of the turns before them a number of turns for a segment can be given: the memory and the number of
+renderings of a very long conversation are then bounded by the segment, and at each boundary both sides are also
+rendered together; where that isn't their outputs one after the other, the operator fails.
 """
 
 from __future__ import annotations
@@ -70,9 +72,14 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, bool, list[tuple
     return out, False, spans
 
 
-def _render(template: Template, loss_role: str, segment: int):
+def _render(template: Template, loss_role: str, segment: int | None):
+    before: list = [[], ""]
+
     def flush(conv_id, number: int, turns: list[Turn], rows: list) -> None:
         formatted, rewrites, spans = locate(template, turns)
+        if number and template(before[0] + turns) != before[1] + formatted:
+            raise ValueError(f"the template renders segment {number} of conversation {conv_id} otherwise after the one before it; give no segment")
+        before[:] = turns, formatted
         columns = [list(x) for x in zip(*spans, strict=True)] or [[], [], [], []]
         rows.append((conv_id, number, len(turns), formatted, rewrites, *columns, [role == loss_role for role, _ in turns]))
 
@@ -103,11 +110,12 @@ def _render(template: Template, loss_role: str, segment: int):
     return run
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, loss_role: str = "assistant", segment: int = SEGMENT) -> DataFrame:
-    """One row for each segment of a conversation of rows(conv_id, turn, role, text, ...), in order within a partition.
+def format_conversations(rows: DataFrame, template: Template = marked_turns, loss_role: str = "assistant", segment: int | None = None) -> DataFrame:
+    """One row for each conversation of rows(conv_id, turn, role, text, ...), or for each of its segments of so many turns where
+    segment is given, in order within a partition.
 
     formatted is the template's output, starts and ends are the turns' spans in it, text_starts and text_ends those of
-    their texts, loss says which turns' texts are under the loss mask (those of loss_role).  rewrites marks segments for
+    their texts, loss says which turns' texts are under the loss mask (those of loss_role).  rewrites marks rows for
     which the template rewrites history; these have no spans.  Turns are ordered by turn, nulls first, ties by role and
     text; repeated rows are turns of their own.  A null role or text is empty.  Rows with a null conv_id make one
     conversation.  Other columns are ignored; an empty table gives an empty table.
