@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from zetamill.functions import encoding
@@ -64,6 +65,17 @@ def test_exact_match_queries_match_exactly(spark):
         assert ((x[:80] >= np.array(r.lo, np.float32)) & (x[:80] <= np.array(r.hi, np.float32))).all(axis=1).sum() == 2
 
 
+def test_exact_match_queries_search_all_rows_and_fail_aloud(spark):
+    # 900 rows at one place and few others: most draws hold too many.
+    x = [[0.0, 0.0]] * 900 + [[float(i), float(i % 3)] for i in range(1, 61)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    got = spatial.exact_match_queries(df, None, 2, 6, seed=1).collect()
+    assert len(got) == 6 and sum(r.retries + 1 for r in got) > 400
+    assert all(sum(r.lo[0] <= a <= r.hi[0] and r.lo[1] <= b <= r.hi[1] for a, b in x) == 2 for r in got)
+    with pytest.raises(ValueError, match="attempts"):
+        spatial.exact_match_queries(df, 900, 2, 1, seed=1, attempts=100)
+
+
 def features_of(ks, start, widths):
     n = len(ks)
     out = {}

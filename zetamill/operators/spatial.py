@@ -99,27 +99,32 @@ def count_in_prefix(vectors: DataFrame, low: list[float], high: list[float], n:
     return (hits if stop is None else hits.limit(stop + 1)).agg(F.count("*").alias("n_matches"))
 
 
-def exact_match_queries(vectors: DataFrame, prefix: int, matches: int, wanted: int, seed: int, attempts: int = 400) -> DataFrame:
+def exact_match_queries(vectors: DataFrame, prefix: int | None, matches: int, wanted: int, seed: int, attempts: int = 50_000) -> DataFrame:
     """(qid, retries, lo, hi): boxes around `matches` random rows that hold exactly as many of the first prefix rows.
 
-    Candidate boxes are drawn from a seeded generator in batches; each batch is counted by one join.
+    Without a prefix all rows are searched.  Candidate boxes are drawn from a seeded generator in growing batches; each
+    batch is counted by one join.  A query that isn't found within so many attempts of its own is an error.
     """
     spark, rng = vectors.sparkSession, np.random.default_rng(seed)
+    if prefix is None:
+        prefix = (vectors.agg(F.max("vec_id")).first()[0] or 0) + 1
     pool = vectors.where(F.col("vec_id") < prefix)
     found: list = []
-    tried = 0
-    while len(found) < wanted and tried < attempts:
-        picks = [sorted(rng.choice(prefix, size=matches, replace=False).tolist()) for _ in range(32)]
+    tried, last = 0, -1
+    while len(found) < wanted:
+        picks = [sorted(rng.choice(prefix, size=matches, replace=False).tolist()) for _ in range(min(512, max(32, tried)))]
         seeds = spark.createDataFrame([(tried + i, v) for i, ids in enumerate(picks) for v in ids], "qid long, vec_id long")
         flat = seeds.join(pool, "vec_id").select("qid", F.posexplode("embedding").alias("dim", "x"))
         limits = flat.groupBy("qid", "dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
         boxes = limits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "hi"))).alias("b")).select("qid", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
         good = box_batch(pool, boxes).groupBy("qid").count().where(F.col("count") == matches).join(boxes, "qid").select("qid", "lo", "hi").collect()
-        last = found[-1][0] if found else -1
-        for r in sorted(good, key=lambda r: r.qid):
-            found.append((r.qid, r.qid - last - 1, r.lo, r.hi))
-            last = r.qid
         tried += len(picks)
+        for r in [*sorted(good, key=lambda r: r.qid), None]:
+            if len(found) < wanted and (tried if r is None else r.qid) - last - 1 >= attempts:
+                raise ValueError(f"no box with exactly {matches} rows for query {len(found)} in {attempts} attempts")
+            if r is not None:
+                found.append((r.qid, r.qid - last - 1, r.lo, r.hi))
+                last = r.qid
     rows = [(i, int(retries), lo, hi) for i, (_, retries, lo, hi) in enumerate(found[:wanted])]
     return spark.createDataFrame(rows, "qid long, retries long, lo array<float>, hi array<float>")
 

@@ -408,7 +408,7 @@ def q_truth_check(spark, d):
 
 @query()
 def q_exact_match_queries(spark, d):
-    return spatial.exact_match_queries(vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("embedding")), 300, 2, 10, seed=7)
+    return spatial.exact_match_queries(vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("embedding")), None, 2, 10, seed=7)
 
 
 @query()
@@ -821,7 +821,7 @@ def q_segment_summary(spark, d):
 
 @query()
 def q_retry_histogram(spark, d):
-    found = spatial.exact_match_queries(vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("embedding")), 300, 2, 20, seed=9)
+    found = spatial.exact_match_queries(vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("embedding")), None, 2, 20, seed=9)
     return found.groupBy("retries").agg(F.count("*").alias("queries"))
 
 
