@@ -33,3 +33,10 @@ def test_empty_and_order_of_columns(spark):
     df = spark.createDataFrame([], "n int, source string, doc_id long, text string")
     out = dedup_lines(df)
     assert out.count() == 0 and out.columns == ["n", "source", "doc_id", "text", "__n_lines", "__n_dropped"]
+
+
+def test_a_dominant_group_of_copies_is_emptied(spark):
+    rows = [(i, "same\ntext" if i < 10 else f"own {i}\nmore {i}", "a") for i in range(30)]
+    got = [(r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(got, key=str) == brute(rows, 0.08, 3)
+    assert all(t == "" for i, t, _, _ in got if i < 10) and all(t == rows[i][1] for i, t, _, _ in got if i >= 10)
