@@ -40,3 +40,11 @@ def test_a_dominant_group_of_copies_is_emptied(spark):
     got = [(r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
     assert sorted(got, key=str) == brute(rows, 0.08, 3)
     assert all(t == "" for i, t, _, _ in got if i < 10) and all(t == rows[i][1] for i, t, _, _ in got if i >= 10)
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, "head\nown", "a", "l", i, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __lines string, __n_lines int, __N_DROPPED string").selectExpr("*", "1 as __host", "2 as __kept")
+    out = dedup_lines(df, ratio=0.5)
+    assert out.columns == [*df.columns, "__n_lines_", "__n_dropped_"]
+    assert all(r.text == "" and r["__n_lines_"] == 2 and r["__n_dropped_"] == 2 and r["__lines"] == "l" for r in out.collect())

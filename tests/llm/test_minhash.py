@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from zetamill.llm.minhash_dedup import COORDINATES, near_duplicates, sketch
+from zetamill.llm.minhash_dedup import COORDINATES, drop_near_duplicates, links_between, near_duplicates, sketch
 from zetamill.llm.textkernel import mix64
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -50,10 +50,10 @@ def corpus(n, seed):
     return texts
 
 
-@pytest.mark.parametrize("k,chunk_bytes", [(2, 4_000_000), (5, 4_000_000), (2, 2_000)])
-def test_components_equal_brute_force(spark, k, chunk_bytes):
+@pytest.mark.parametrize("k,chunk_bytes,chunk_rows,sketch_rows", [(5, 4_000_000, 512, 1024), (2, 2_000, 512, 8), (2, 4_000_000, 6, 5)])
+def test_components_equal_brute_force(spark, k, chunk_bytes, chunk_rows, sketch_rows):
     rows = list(enumerate(corpus(260, k)))
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, 80, chunk_bytes).collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, 80, chunk_bytes, chunk_rows, sketch_rows).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -74,3 +74,42 @@ def test_sketch_estimates_similarity():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((sketch(a) == sketch(b)).mean() - true) < 5 * (true * (1 - true) / COORDINATES) ** 0.5 + 0.02
         assert (sketch(a) != np.iinfo(np.uint64).max).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two strings of n letters that collide under polynomial hashes modulo 2**64."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    rows = []
+    for p in range(6, 14):
+        a, b = thue_morse(1 << p)
+        rows += [(10 * p, a), (10 * p + 1, b), (10 * p + 2, a + " x"), (10 * p + 3, b + " x"), (10 * p + 4, a.upper())]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+
+
+def test_many_short_near_copies():
+    rng = np.random.default_rng(4)
+    base = np.sort(mix64(np.arange(31, dtype=np.uint64)))
+    sets = [np.unique(np.r_[base[: 31 - i % 2], mix64(rng.integers(1 << 40, size=1, dtype=np.uint64))]) for i in range(4000)]
+    assert len(links_between(sets, len(sets), 80)) == len(sets) - 1
+
+
+def test_a_large_family_in_small_chunks(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], f"own{i}", *words[30:]])) for i in range(1500)] + [(2000 + i, " ".join(rng.sample(words, 40))) for i in range(100)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, chunk_rows=64, sketch_rows=64).collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[i] == i for i in range(2000, 2100))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words altogether here now", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept string").selectExpr("*", "1 as rep", "2 as load", "'q' as kept", "3 as group")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert drop_near_duplicates(df.limit(0)).count() == 0

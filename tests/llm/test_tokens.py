@@ -17,6 +17,17 @@ ODD = [
 ]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two strings of n letters that collide under polynomial hashes modulo 2**64."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+#: Both of a pair in one text and in texts of their own, with their complements.
+ADVERSE = [x for p in range(3, 14) for a, b in [thue_morse(1 << p), thue_morse(1 << p, "qz", "zq")] for x in (a, b, f"{a} {b}", f"{b} {a}.", f"{a.upper()}, {b}")]
+
+
 def texts():
     rng = random.Random(5)
     alphabet = ["a", "b", "the", " ", " ", " ", "  ", "\n", "\n\n", "\t", ",", ".", "'s", "'", "é", "ß", " ", " ", "1", "23", "!", "<|endoftext|>", "🙂", "́", "Σ", "\x1d", "\u0085", "»"]
@@ -28,7 +39,7 @@ def frame(spark, rows):
 
 
 def corpus_rows(spark):
-    rows = list(enumerate(texts()))
+    rows = list(enumerate(texts() + ADVERSE))
     return [*rows, rows[5], (None, "null id")]
 
 
@@ -92,6 +103,12 @@ def test_packing(spark, capacity, block):
     assert packing.pack(frame(spark, [(None, None)]), path).collect()[0].length == 1
 
 
+def test_packing_of_units_that_break_polynomial_hashes(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = list(enumerate(ADVERSE))
+    check_pieces(rows, packing.pack(frame(spark, rows), path).collect(), load_tokenizer(path), 2048)
+
+
 def test_cuts_are_optimal():
     rng = random.Random(1)
     for _ in range(200):

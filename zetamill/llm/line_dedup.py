@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, free_name
 
 RATIO = 0.08
 MIN_PAGES = 3
@@ -37,21 +37,27 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_p
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with boilerplate lines taken out of text, and two further columns __n_lines and __n_dropped.
+    """docs with boilerplate lines taken out of text, and two further columns, the last ones: __n_lines and __n_dropped
+    (with underscores added to a name that docs has already).
 
     Lines are separated by line feeds and compared without leading and trailing spaces.  Empty lines are never counted
     or dropped.  A page counts once for a line however often it has it; all of its copies on the page are dropped.
     Repeated rows are pages of their own.  A null text stays null (0 lines); a page whose lines all go gets an empty
     text; rows with a null host stay as they are.  A line at exactly the ratio stays.  An empty table gives an empty table.
     """
-    found = cut(boilerplate_lines(docs, host, text, ratio, min_pages)).select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    rows = found.agg(F.sum(F.size("__lines"))).first()[0] or 0
+    names = docs
+    own = {}
+    for wanted in ("host", "lines", "n_lines", "n_dropped", "kept"):
+        own[wanted] = free_name(names, f"__{wanted}")
+        names = names.withColumn(own[wanted], F.lit(None))
+    found = cut(boilerplate_lines(docs, host, text, ratio, min_pages)).select(F.col("host").alias(own["host"]), F.col("lines").alias(own["lines"]))
+    rows = found.agg(F.sum(F.size(own["lines"]))).first()[0] or 0
     small = F.broadcast(found) if rows <= BROADCAST_ROWS else found
-    joined = docs.join(small, docs[host] == F.col("__host"), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), _digest(F.trim(x))), F.lit(False)) | (F.trim(x) == ""))
-    out = joined.withColumn("__n_lines", F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)))
-    out = out.withColumn("__kept", F.when(F.col("__lines").isNull(), lines).otherwise(kept))
-    out = out.withColumn("__n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)))
-    out = out.withColumn(text, F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text)))
-    return out.select(*docs.columns, "__n_lines", "__n_dropped")
+    joined = docs.join(small, docs[host] == F.col(own["host"]), "left")
+    lines, bad = F.split(F.col(text), "\n", -1), F.col(own["lines"])
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(bad, _digest(F.trim(x))), F.lit(False)) | (F.trim(x) == ""))
+    out = joined.withColumn(own["n_lines"], F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)))
+    out = out.withColumn(own["kept"], F.when(bad.isNull(), lines).otherwise(kept))
+    out = out.withColumn(own["n_dropped"], F.coalesce(F.size(lines) - F.size(own["kept"]), F.lit(0)))
+    out = out.withColumn(text, F.when(F.col(own["n_dropped"]) > 0, F.array_join(own["kept"], "\n")).otherwise(F.col(text)))
+    return out.select(*docs.columns, own["n_lines"], own["n_dropped"])

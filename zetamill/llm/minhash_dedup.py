@@ -9,18 +9,23 @@ coordinates are cut into BANDS bands of ROWS; sets that agree in a whole band ar
 pair misses all bands with probability (1 - 0.8**6)**53, about 1e-7.  Candidates count as links only
 after an exact comparison of their full shingle sets.
 
-Distribution.  Equal sets are one class (grouped by a 128-bit fingerprint), so copies cost nothing further.
-Candidate components of classes are found on ids alone.  Texts of classes that have a candidate are then
-fetched once and compared in tasks of at most CHUNK_BYTES of text (plus the pivots): a component that is
-larger is cut into random chunks, all of which share the same random pivots; after that only members
-outside the component's largest verified part ("stragglers") are compared with every chunk, which is
-complete, because links within one verified part cannot change the result.  No group is gathered in one
-task, no pair is emitted except verified links that join two parts, and nothing is capped.
+Distribution.  Equal sets are one class (grouped by a 128-bit fingerprint), so copies cost nothing further, and
+buckets (band, key) with the same members are looked at once.  In each bucket the members' sketches are compared: two
+belong together when their sketches agree in as many coordinates as similarity 0.8 leads to but for 5.5 standard
+deviations, so sets that merely share a template don't join.  Texts of the groups that arise are fetched once and compared
+exactly.  Both steps work on groups in tasks of bounded size: a group that is larger is cut into random chunks, all of
+which share the same random pivots; after that only members outside the group's largest part ("strays") are compared with
+every chunk, which is complete, because links within one part cannot change the result.  Inside a task members
+that have already joined are skipped.  No group is gathered in one task, no pair is emitted except links that join
+two parts, and nothing is capped.  What grows is the strays' step: a group whose n members fall into parts that are all small
+costs (n / chunk)**2 tasks; it takes very many texts of similarity 0.64 to 0.8 for that.
+
+Identity.  Shingles are told apart by 64-bit hashes under a secret key (drawn for each job, see span_hashes()).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, small_batches
-from .textkernel import mix64, set_fingerprint, shingle_sets, text_blocks
+from .runtime import cut, free_name, small_batches
+from .textkernel import mix64, new_key, set_fingerprint, shingle_sets, text_blocks
 
 ROWS, BANDS = 6, 53
 COORDINATES = ROWS * BANDS
-CHUNK_BYTES = 4_000_000
+#: Most bytes and texts of a chunk without its pivots, and most sketches of one.
+CHUNK_BYTES, CHUNK_ROWS = 4_000_000, 512
+SKETCH_ROWS = 1024
+#: Coordinates that are compared, by one byte each.
+COMPARED = 192
+BROADCAST_BANDS = 300_000
 PIVOT_SHARE = 0.25
 
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -64,25 +74,25 @@ def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    rows = mix64(coordinates).reshape(BANDS, ROWS)
+def band_keys(short: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each row of 16-bit coordinates."""
+    rows = mix64(short.astype(np.uint64) + np.uint64(1)).reshape(len(short), BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(ROWS):
-        key = mix64(key * np.uint64(3) + rows[:, j])
+        key = mix64(key * np.uint64(3) + rows[:, :, j])
     return key.view(np.int64)
 
 
-def _sketches(k: int):
+def _sketches(k: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(1)):
-                sets = shingle_sets(data, offsets, k)
+                sets = shingle_sets(data, offsets, k, key)
                 prints = [set_fingerprint(s) if len(s) else (None, None) for s in sets]
-                bands = [band_keys(sketch(s)).tobytes() if len(s) else None for s in sets]
+                sketches = [mix64(sketch(s)).astype(np.uint16).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(bands, pa.binary())],
-                    names=["doc_id", "n_shingles", "n_bytes", "fa", "fb", "bands"],
+                    [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "n_shingles", "n_bytes", "fa", "fb", "sketch"],
                 )
 
     return run
@@ -90,74 +100,123 @@ def _sketches(k: int):
 
 def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            part = batch.slice(start, 4096)
-            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys)], names=["rep", "band"])
+        for start in range(0, batch.num_rows, 2048):
+            part = batch.slice(start, 2048)
+            keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], names=["rep", "band"])
+
+
+def forest(m: int, n_left: int, similar: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) that join into parts all of m members that similar() joins, with a member among the first n_left.
+
+    Where all are left, a pair of different parts has a member outside the largest part, so that only those are
+    looked at; parts that have joined aren't joined again.
+    """
+    label, done, out = np.arange(m), np.zeros(m, bool), []
+    done[n_left:] = True
+    while True:
+        skip = label == (np.bincount(label).argmax() if n_left == m else -1)
+        at = int((~done & ~skip).argmax()) if m else 0
+        if not m or done[at] or skip[at]:
+            return out
+        done[at] = True
+        near = similar(at)
+        some, first = np.unique(label[near], return_index=True)
+        new = some != label[at]
+        if new.any():
+            out += [(at, int(j)) for j in near[first[new]]]
+            lut = np.arange(m)
+            lut[some] = min(label[at], some.min())
+            lut[label[at]] = lut[some].min()
+            label = lut[label]
+            if label.max() == label.min():
+                return out
 
 
 def links_between(sets: list[np.ndarray], n_left: int, percent: int) -> list[tuple[int, int]]:
-    """Verified links that join parts: pairs (i, j), i < n_left, with 100 * |A and B| >= percent * |A or B|.
+    """Verified links that join parts: pairs with 100 * |A and B| >= percent * |A or B|, one of the first n_left in each.
 
-    All pairs with a member among the first n_left are covered.  Sets already joined are skipped, so the
-    links form a forest.  An inverted index over the sets gives exact intersection sizes.
+    An inverted index over the sets gives exact intersection sizes.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
     _, code = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
-    order = np.argsort(code, kind="stable")
-    postings = owner[order]
+    postings = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(code, kind="stable")]
     counts = np.bincount(code)
     begin = np.r_[0, np.cumsum(counts)]
     at = np.r_[0, np.cumsum(sizes)]
-    root = np.arange(m)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i in range(n_left):
+    def similar(i: int) -> np.ndarray:
         own = code[at[i] : at[i + 1]]
         own = own[counts[own] > 1]
         if not len(own):
-            continue
+            return np.zeros(0, np.int64)
         lens = counts[own]
         stop = np.cumsum(lens)
-        index = np.arange(stop[-1]) - np.repeat(stop - lens, lens) + np.repeat(begin[own], lens)
-        shared = np.bincount(postings[index], minlength=m)
-        linked = np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared))
-        for j in linked.tolist():
-            if j == i:
-                continue
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, j))
-    return out
+        shared = np.bincount(postings[np.arange(stop[-1]) + np.repeat(begin[own] - stop + lens, lens)], minlength=m)
+        return np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared))
+
+    return forest(m, n_left, similar)
+
 
+def likely_links(sketches: np.ndarray, n_left: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the rows whose sketches agree in as many places as a pair of the least similarity may."""
+    share = percent / 100
+    least = COMPARED * (share - 5.5 * (share * (1 - share) / COMPARED) ** 0.5)
+    return forest(len(sketches), n_left, lambda i: np.flatnonzero((sketches == sketches[i]).sum(axis=1) >= least))
 
-def _compare(k: int, percent: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+
+def _compare(kind: str, k: int, percent: int, key: bytes):
+    def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("side", "ascending"), ("rep", "ascending")])
-        reps, sides = table.column("rep").to_numpy(), table.column("side").to_numpy()
-        sets = [s for chunk in table.column("text").chunks for _, _, data, offsets in text_blocks(chunk) for s in shingle_sets(data, offsets, k)]
-        pairs = links_between(sets, int((sides == 0).sum()), percent)
+        reps, n_left = table.column("rep").to_numpy(), int((table.column("side").to_numpy() == 0).sum())
+        if kind == "text":
+            sets = [s for chunk in table.column("load").chunks for _, _, data, offsets in text_blocks(chunk) for s in shingle_sets(data, offsets, k, key)]
+            pairs = links_between(sets, n_left, percent)
+        else:
+            sketches = np.frombuffer(b"".join(table.column("load").to_pylist()), np.uint16).reshape(len(reps), -1)
+            pairs = likely_links(sketches[:, :COMPARED].astype(np.uint8), n_left, percent)
         return pa.table({"a": pa.array([reps[i] for i, _ in pairs], pa.int64()), "b": pa.array([reps[j] for _, j in pairs], pa.int64())})
 
     return run
 
 
-def _links(tasks: DataFrame, k: int, percent: int) -> DataFrame:
-    # Rows that are already dealt by comp alone would not be dealt again, and one component's chunks would share a task.
-    return tasks.repartition("comp", "chunk").groupBy("comp", "chunk").applyInArrow(_compare(k, percent), "a long, b long")
+def _grouped_links(members: DataFrame, loads: DataFrame, compare) -> DataFrame:
+    """(a, b): links that join the members of each group of members(group, rep, n_chunks), by their loads(rep, load).
+
+    All joins on group are made on ids alone; a load is joined to its row by rep and dealt by group and chunk.
+    """
 
+    def links(tasks: DataFrame) -> DataFrame:
+        # Rows that are already dealt by group alone would not be dealt again, and one group's chunks would share a task.
+        rows = tasks.join(loads, "rep").select("group", "chunk", "rep", "side", "load")
+        return cut(rows.repartition("group", "chunk").groupBy("group", "chunk").applyInArrow(compare, "a long, b long").where("a <> b"))
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    slot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_chunks").cast("long")).cast("int")
+    pivot = (F.col("n_chunks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) < F.lit(PIVOT_SHARE * (1 << 20)) / F.col("n_chunks"))
+    # A pivot goes to every chunk, any other member to its own.
+    chunk = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array(slot)))
+    found = links(members.select("group", "rep", chunk.alias("chunk"), F.lit(0).alias("side")))
+    large = members.where("n_chunks > 1")
+    if not large.limit(1).count():
+        return found
+    parts = connected_components(found).withColumnRenamed("node", "rep")
+    known = cut(large.join(parts, "rep", "left").select("group", "rep", "n_chunks", F.coalesce("component", "rep").alias("part")))
+    count = known.groupBy("group", "part").agg(F.count("*").alias("n"))
+    sizes = count.groupBy("group").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"))
+    split = known.join(sizes.where("largest < all"), "group").withColumn("is_stray", F.col("part") != F.col("main"))
+    # As many chunks of strays as their share of the members asks for.
+    split = cut(split.select("group", "rep", "n_chunks", "is_stray", F.ceil(F.col("n_chunks") * (F.col("all") - F.col("largest")) / F.col("all")).cast("int").alias("n_strays")))
+    side_slot = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_strays").cast("long")).cast("int")
+    left = split.where("is_stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    left = left.select("group", "rep", (side_slot * F.col("n_chunks") + F.col("other")).alias("chunk"), F.lit(0).alias("side"))
+    right = split.withColumn("stray", F.explode(F.sequence(F.lit(0), F.col("n_strays") - 1)))
+    right = right.select("group", "rep", (F.col("stray") * F.col("n_chunks") + slot).alias("chunk"), F.lit(1).alias("side"))
+    return found.unionAll(links(left.unionAll(right)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes: int = CHUNK_BYTES, chunk_rows: int = CHUNK_ROWS, sketch_rows: int = SKETCH_ROWS) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| over the sets of their k-word shingles;
@@ -168,48 +227,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     Other columns are ignored, whatever their names.
     An empty table gives an empty table.  Similarities equal to the threshold are links.
     """
+    key = new_key()
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = cut(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, n_bytes long, fa long, fb long, bands binary"))
+    hashed = cut(docs.mapInArrow(_sketches(k, key), "doc_id long, n_shingles long, n_bytes long, fa long, fb long, sketch binary"))
     linked = hashed.where("doc_id is not null and fa is not null")
     classes = linked.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     members = cut(linked.select("doc_id", "fa", "fb").distinct().join(classes, ["fa", "fb"]).select("doc_id", "rep"))
-    rep_bands = linked.join(classes.select("fa", "fb", F.col("rep").alias("doc_id")), ["fa", "fb", "doc_id"]).dropDuplicates(["fa", "fb", "doc_id"])
-    bands = rep_bands.select(F.col("doc_id").alias("rep"), "bands").mapInArrow(_explode_bands, "rep long, band long")
-    shared = bands.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("band", "b")
-    near = bands.join(shared, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    candidates = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    sized = cut(candidates.join(linked.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_bytes").alias("n_bytes")), "rep"))
-    chunks = sized.groupBy("comp").agg(F.ceil(F.sum("n_bytes") / chunk_bytes).cast("int").alias("n_chunks"))
-    sized = cut(sized.join(chunks, "comp").select("rep", "comp", "n_bytes", "n_chunks"))
-
-    def with_text(chosen: DataFrame) -> DataFrame:
-        """chosen(rep, ...) with the texts; all joins on comp are done before, on ids alone."""
-        return docs.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-
-    placed = with_text(sized)
-    slot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_chunks").cast("long")).cast("int")
-    pivot = (F.col("n_chunks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) < F.lit(PIVOT_SHARE * (1 << 20)) / F.col("n_chunks"))
-    # A pivot goes to every chunk, any other member to its own.
-    chunked = placed.withColumn("chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array(slot))))
-    first = cut(_links(chunked.select("comp", "chunk", "rep", F.lit(0).alias("side"), "text"), k, percent))
-    parts = connected_components(first)
-
-    large = sized.where("n_chunks > 1")
-    links = first
-    if large.limit(1).count():
-        known = cut(large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("comp", "rep", "n_bytes", "n_chunks", F.coalesce("component", "rep").alias("part")))
-        count = known.groupBy("comp", "part").agg(F.count("*").alias("n"))
-        main = count.groupBy("comp").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"))
-        split = known.join(main, "comp").withColumn("is_stray", F.col("part") != F.col("main"))
-        strays = split.where("is_stray").groupBy("comp").agg(F.ceil(F.sum("n_bytes") / chunk_bytes).cast("int").alias("n_strays"))
-        split = with_text(cut(split.join(strays, "comp").select("rep", "comp", "n_chunks", "n_strays", "is_stray")))
-        side_slot = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_strays").cast("long")).cast("int")
-        left = split.where("is_stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        left = left.select("comp", (side_slot * F.col("n_chunks") + F.col("other")).alias("chunk"), "rep", F.lit(0).alias("side"), "text")
-        right = split.withColumn("stray", F.explode(F.sequence(F.lit(0), F.col("n_strays") - 1)))
-        right = right.select("comp", (F.col("stray") * F.col("n_chunks") + slot).alias("chunk"), "rep", F.lit(1).alias("side"), "text")
-        links = first.unionAll(_links(left.unionAll(right), k, percent))
-        parts = connected_components(links)
+    own = linked.join(classes.select("fa", "fb", F.col("rep").alias("doc_id")), ["fa", "fb", "doc_id"]).dropDuplicates(["fa", "fb", "doc_id"])
+    sketches = cut(own.select(F.col("doc_id").alias("rep"), "n_bytes", F.col("sketch").alias("load")))
+
+    bands = sketches.select("rep", "load").mapInArrow(_explode_bands, "rep long, band long")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < last")
+    buckets = cut(buckets.groupBy("n", "least", "last", "who").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / sketch_rows).cast("int").alias("n_chunks")))
+    shared = bands.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_BANDS else buckets, "band")
+    likely = _grouped_links(cut(shared.select(F.col("band").alias("group"), "rep", "n_chunks").distinct()), sketches.select("rep", "load"), _compare("sketch", k, percent, key))
+
+    groups = connected_components(likely).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    sized = cut(groups.join(sketches.groupBy("rep").agg(F.sum("n_bytes").alias("n_bytes")), "rep"))
+    chunks = sized.groupBy("group").agg(F.ceil(F.greatest(F.sum("n_bytes") / chunk_bytes, F.count("*") / chunk_rows)).cast("int").alias("n_chunks"))
+    sized = cut(sized.join(chunks, "group").select("group", "rep", "n_chunks"))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("load"))
+    parts = connected_components(_grouped_links(sized, texts, _compare("text", k, percent, key)))
 
     ids = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("root"))
     ids = ids.groupBy("id").agg(F.min("root").alias("root"))
@@ -221,8 +259,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest doc_id.
 
-    Rows that repeat a doc_id leave one row.  Rows with a null doc_id stay.  All columns stay as they are.
+    Rows that repeat a doc_id leave one row.  Rows with a null doc_id and texts without words stay.  All columns stay as
+    they are, whatever their names; an empty table gives an empty table.
     """
-    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs, "kept")
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

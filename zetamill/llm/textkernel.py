@@ -6,18 +6,22 @@ A word is a maximal run of bytes outside {0x20, 0x09-0x0D}; A-Z is lower-cased,
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: Spans up to so many bytes are hashed in lanes of eight bytes, longer ones by a cryptographic digest.
+LANES = 8
+SHORT = 8 * LANES
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_S32, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -29,32 +33,97 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def _byte_table() -> np.ndarray:
-    """A random 64-bit value for each byte, the same for A-Z and a-z."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    values[65:91] = values[97:123]
-    return values
-
-
-_BYTES = _byte_table()
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def new_key() -> bytes:
+    """A fresh secret for span_hashes().  A job draws one on the driver and sends it to all its tasks."""
+    return secrets.token_bytes(32)
+
+
+@functools.lru_cache(8)
+def _multipliers(key: bytes) -> np.ndarray:
+    """Random 64-bit multipliers: for each of two sums one for the length and two for each lane."""
+    stream = hashlib.shake_256(b"multipliers" + key).digest(8 * 2 * (1 + 2 * LANES))
+    return np.frombuffer(stream, np.uint64).reshape(2, 1 + 2 * LANES)
+
+
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as one number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            run = np.full(size, base, dtype=np.uint64)
-            run[0] = 1
-            _powers[name] = np.multiply.accumulate(run)
-    if n <= BLOCK_BYTES < len(_powers["up"]):  # a very long text has passed; free its tables
-        up, down = _powers["up"][:BLOCK_BYTES].copy(), _powers["down"][:BLOCK_BYTES].copy()
-        _powers.update(up=up, down=down)
-    return _powers["up"], _powers["down"]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span.
+
+    Short spans: two multilinear sums over their 32-bit halves and length with secret multipliers, of each the upper half:
+    two given different spans meet with probability 2**-64, whatever they hold, as the key isn't known to who
+    wrote them.  Longer spans: a keyed BLAKE2b digest.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    length = ends - starts
+    view, m = lanes_of(data), _multipliers(key)
+    one, two = (length.astype(np.uint64) * m[i, 0] for i in range(2))
+    some: slice | np.ndarray = slice(None)
+    for j in range(LANES):
+        rest = length[some] - 8 * j
+        lane = view[starts[some] + 8 * j] & _MASKS[np.minimum(rest, 8)]
+        low, high = lane & _LOW32, lane >> _S32
+        one[some] += low * m[0, 1 + 2 * j] + high * m[0, 2 + 2 * j]
+        two[some] += low * m[1, 1 + 2 * j] + high * m[1, 2 + 2 * j]
+        some = np.flatnonzero((length > 8 * j + 8) & (length <= SHORT))
+        if not len(some):
+            break
+    out[:] = (one & ~_LOW32) | (two >> _S32)
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first, code): the place of one span of each kind, and each span's kind.  Kinds are byte strings, not hashes.
+
+    Spans are grouped by hash and then compared with the first of their group; a span that differs from
+    it would be given a kind by its bytes.
+    """
+    _, first, code = np.unique(span_hashes(data, starts, ends, key), return_index=True, return_inverse=True)
+    if not len(starts):
+        return first, code
+    view, length, model = lanes_of(data), ends - starts, first[code]
+    differs = length != length[model]
+    some: slice | np.ndarray = slice(None)
+    for j in range(LANES):
+        lane = (view[starts[some] + 8 * j] ^ view[starts[model[some]] + 8 * j]) & _MASKS[np.minimum(length[some] - 8 * j, 8)]
+        differs[some] |= lane != 0
+        some = np.flatnonzero((length > 8 * j + 8) & (length <= SHORT) & ~differs)
+        if not len(some):
+            break
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero((length > SHORT) & ~differs).tolist():
+        m = model[i]
+        differs[i] = m != i and raw[starts[i] : ends[i]] != raw[starts[m] : ends[m]]
+    odd = np.flatnonzero(differs)
+    if len(odd):
+        kinds: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            text = bytes(raw[starts[i] : ends[i]])
+            if text not in kinds:
+                kinds[text] = len(first) + len(more)
+                more.append(i)
+            code[i] = kinds[text]
+        first = np.r_[first, more]
+    return first, code
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,12 +145,11 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the index of its first word (one more entry at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    up, down = _power_tables(n)
     space = _SPACE[data]
     inner = offsets[1:-1]
     starts = ~space
@@ -92,19 +160,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts[cuts] = ~space[cuts]
     ends[cuts - 1] = ~space[cuts - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    total = np.cumsum(_BYTES[data] * up[:n], dtype=np.uint64)
-    before = np.where(first > 0, total[first - 1], np.uint64(0))
-    hashed = (total[last] - before) * down[first]
-    hashed = mix64(hashed + (last - first + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return hashed, np.searchsorted(first, offsets)
+    return mix64(span_hashes(_LOWER[data], first, last + 1, key)), np.searchsorted(first, offsets)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: bytes) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its k-word shingles.
 
     A text with 1 to k-1 words has its whole word sequence as its one shingle; one without words has none.
     """
-    words, at = word_hashes(data, offsets)
+    words, at = word_hashes(data, offsets, key)
     grams = words.copy()
     if len(words) >= k:
         grams = grams[: len(words) - k + 1]

@@ -1,99 +1,109 @@
-"""Toxicity scores from a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
+"""Toxicity scores from a subsequence string kernel, Nystroem landmarks and a support vector machine on labelled sentences.
 
 Kernel.  Two words are compared by the three-letter subsequences they share; an occurrence whose letters span s
 positions weighs DECAY**s, spans beyond SPAN don't count, ^ and $ mark a word's ends.  So inserted letters and gaps
 lower the similarity of two words but don't end it.  Values are divided by norms that depend on the words' lengths.
 
-Model.  The words of labelled sentences are the instances.  A word feature (the word, its beginning) that
-explains many toxic documents and next to no clean ones marks its words as positive; features are chosen greedily by the
-number of toxic documents that none of those before explains.  Words of clean documents are negative.  All are
-mapped by Nystroem's method to LANDMARKS words, and a squared-hinge SVM is trained in that space.  Its decision function is
-a weighted sum over subsequences, so it is stored as one weight for each (hashed) subsequence: scoring needs no landmark.
+Model.  A labelled sentence is a bag of words, and the SVM's margin of a sentence is that of its highest word: a toxic sentence
+asks for one word at +1, a clean one for all words at -1.  Such multiple-instance SVMs are trained in turns: the
+word that stands for each toxic sentence (its witness) is chosen by the present decision function, then a squared-hinge SVM is
+trained on witnesses against words of clean sentences, those with the largest decision values among them.
+The first function is a diagonal discriminant between the mean embeddings of toxic and of clean sentences.  Words are mapped by
+Nystroem's method to LANDMARKS words.  The decision function is a weighted sum over subsequences, so it is stored as one
+weight for each (hashed) subsequence: scoring needs no landmark.
 
 Score.  A text's decision value is the largest of its words', turned into a probability by a logistic curve
-fitted on the training documents.  Words are runs of letters and digits after removal of all other
-characters except white space ("i.d.i.o.t" is one word); runs of single letters are joined ("i d i o t").
+fitted on the training sentences.  Texts are folded (NFKC, lower case).  Words are runs of letters and digits after
+removal of all other characters except white space ("i.d.i.o.t" is one word); runs of single letters are joined
+("i d i o t").  The value of a word above PIECE marked letters is the largest of its windows of so many letters; only the
+first window has the mark of a beginning, only the last one that of an end.
 
 Distribution.  The model is fitted on the driver from a sample with fixed bounds: at most SAMPLE_TOXIC and SAMPLE_CLEAN
-labelled texts of at most SAMPLE_BYTES each, those with the smallest hashes of doc_id.  Scoring is one pass over
-the whole texts of all rows without a shuffle; the broadcast weights are SLOTS * 4 bytes.
+labelled texts, those with the smallest hashes of doc_id, as many as have SAMPLE_CHARS characters together.  Scoring is one pass over the whole texts of all rows without a shuffle; the broadcast weights are SLOTS * 4 bytes.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
-from .textkernel import _power_tables, mix64
-from .units import gather, once
+from .runtime import cut, small_batches
+from .textkernel import distinct_spans, mix64
+from .units import KEY, gather, once
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2_000, 5_000, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 24_000_000
 LANDMARKS = 256
 #: Decision value of a word that shares nothing with any landmark, and the bounds of decision values.
 BIAS, LEAST = -1.0, -3.0
 COST = 30.0
-#: Shares of the toxic texts that make a feature a positive one, and of the clean ones, relative to them, that it may have.
-FREQUENT, RARE = 0.03, 0.02
 SLOTS = 1 << 18
 SPAN, DECAY = 6, 0.6
-POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 6_000, 3_000
-BEGINNINGS = (3, 4, 5, 6)
-PIECE, PIECE_STEP = 20, 8
-CACHE_WORDS = 300_000
+#: Turns of witnesses and training, parts of the sentences that choose witnesses for each other, share of the clean sentences
+#: that may have higher words than a witness, and clean words in one training.
+TURNS, FOLDS, CALM, NEGATIVE_WORDS = 3, 3, 0.08, 8_000
+PIECE, PIECE_STEP = 22, 8
+CACHE_WORDS = 250_000
 BLOCK_CHARS = 1 << 20
 
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
+def _kind(ch: str) -> int:
+    """0 dropped, 1 part of a word, 2 white space."""
+    return 2 if ch.isspace() else 1 if ch.isalnum() else 0
+
+
 def _classes() -> np.ndarray:
-    """0 dropped, 1 part of a word, 2 white space, for each code point of the basic plane."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        ch = chr(c)
-        out[c] = 2 if ch.isspace() else 1 if ch.isalnum() else 0
-    return out
+    """The kind of each code point of the basic plane."""
+    return np.array([_kind(chr(c)) for c in range(1 << 16)], np.uint8)
 
 
 @dataclass
 class Words:
-    """All words of some texts: code points, where words begin and end, and each text's first word."""
+    """All words of some texts, with their marks: code points, where words begin and end, and each text's first word."""
 
     chars: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     at: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.chars)
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(self.chars.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
-        return mix64((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of one word of each kind, and each word's kind."""
+        return distinct_spans(self.chars.view(np.uint8), 4 * self.starts, 4 * self.ends, KEY)
 
     def some(self, which) -> Words:
         starts, ends = self.starts[which], self.ends[which]
         return Words(self.chars, starts, ends, np.array([0, len(starts)]))
 
+    def names(self) -> list[bytes]:
+        joined = self.chars.tobytes()
+        return [joined[4 * a : 4 * b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
     def texts(self) -> list[str]:
-        joined = self.chars.astype("<u4").tobytes()
-        return [joined[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        return [n.decode("utf-32-le", "replace") for n in self.names()]
+
+
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text).lower()
 
 
 def cut_words(texts: list[str]) -> Words:
-    """Words of the texts; those above PIECE characters are cut into overlapping pieces."""
+    """Words of the texts; of those above PIECE marked letters their windows."""
     classes = once(("toxicity", "classes"), _classes)
-    lowered = [t.lower() for t in texts]
+    lowered = [_folded(t) for t in texts]
     sizes = np.array([len(t) + 1 for t in lowered], np.int64)
-    chars = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32) if texts else np.zeros(0, np.uint32)
+    chars = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4") if texts else np.zeros(0, "<u4")
     kind = classes[np.minimum(chars, 0xFFFF)]
+    beyond = np.flatnonzero(chars > 0xFFFF)
+    if len(beyond):
+        some, code = np.unique(chars[beyond], return_inverse=True)
+        kind[beyond] = np.array([_kind(chr(c)) for c in some.tolist()], np.uint8)[code]
     keep = kind > 0
     offsets = np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(sizes)]]
     chars, kind = chars[keep], kind[keep]
@@ -116,30 +126,28 @@ def cut_words(texts: list[str]) -> Words:
             offsets = np.r_[0, np.cumsum(keep)][offsets]
             chars, letters = chars[keep], letters[keep]
             starts, ends = runs(letters)
-    long = np.flatnonzero(ends - starts > PIECE)
-    if len(long):
-        more = [np.arange(s, e - PIECE + PIECE_STEP, PIECE_STEP) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-        stop = np.repeat(ends[long], [len(m) for m in more])
-        rest = ends - starts <= PIECE
-        begin = np.r_[starts[rest], np.concatenate(more)]
-        end = np.r_[ends[rest], np.minimum(np.concatenate(more) + PIECE, stop)]
-        order = np.argsort(begin, kind="stable")
-        starts, ends = begin[order], end[order]
-    return Words(chars, starts, ends, np.searchsorted(starts, offsets))
+    at, length = np.searchsorted(starts, offsets), ends - starts
+    marked = np.full(int(length.sum()) + 2 * len(starts), ord("^"), "<u4")
+    begin = np.cumsum(length + 2) - length - 2
+    marked[np.arange(int(length.sum())) + np.repeat(2 * np.arange(len(starts)) + 1, length)] = gather(chars, starts, length)
+    marked[begin + length + 1] = ord("$")
+    starts, ends = begin, begin + length + 2
+    windows = 1 + np.maximum(0, -(-(length + 2 - PIECE) // PIECE_STEP))
+    if len(windows) and windows.max() > 1:
+        own = np.repeat(np.arange(len(starts)), windows)
+        starts = starts[own] + PIECE_STEP * (np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows))
+        ends = np.minimum(starts + PIECE, ends[own])
+        at = np.r_[0, np.cumsum(windows)][at]
+    return Words(marked, starts, ends, at)
 
 
 def subsequences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, slot, weight) of every counted subsequence of all words, weights already divided by the norms."""
-    lengths = words.ends - words.starts
-    size = lengths + 2
+    size = words.ends - words.starts
     first = np.cumsum(size) - size
-    n = int(size.sum())
     owner = np.repeat(np.arange(len(size)), size)
-    place = np.arange(n) - first[owner]
-    chars = np.full(n, ord("^"), np.uint64)
-    inner = (place > 0) & (place <= lengths[owner])
-    chars[inner] = words.chars[(words.starts[owner] + place - 1)[inner]]
-    chars[place == lengths[owner] + 1] = ord("$")
+    place = np.arange(len(owner)) - first[owner]
+    chars = gather(words.chars, words.starts, size).astype(np.uint64)
     norm = np.zeros(len(size))
     for a, b in _GAPS:
         norm += np.maximum(0, size - a - b) * DECAY ** (2 * (a + b + 1))
@@ -147,21 +155,32 @@ def subsequences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for a, b in _GAPS:
         i = np.flatnonzero(place + a + b < size[owner])
-        code = mix64(chars[i] * np.uint64(0x100000001B3) + chars[i + a] * np.uint64(0x1F123BB5159A55E5) + chars[i + a + b] * np.uint64(0xC2B2AE3D27D4EB4F))
-        parts.append((owner[i], (code & np.uint64(SLOTS - 1)).astype(np.int64), DECAY ** (a + b + 1) / norm[owner[i]]))
+        parts.append((owner[i], subsequence_slot(chars[i], chars[i + a], chars[i + a + b]), DECAY ** (a + b + 1) / norm[owner[i]]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def decision(words: Words, weights: np.ndarray) -> np.ndarray:
-    """The SVM's decision value of each word."""
-    out = np.full(len(words.starts), BIAS)
-    for begin in range(0, len(out), 8192):
+def subsequence_slot(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The slot of three letters."""
+    code = mix64(x * np.uint64(0x100000001B3) + y * np.uint64(0x1F123BB5159A55E5) + z * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (code & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def decisions(words: Words, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """The decision values of each word under several functions."""
+    out = [np.full(len(words.starts), BIAS) for _ in weights]
+    for begin in range(0, len(words.starts), 8192):
         some = slice(begin, begin + 8192)
         word, slot, weight = subsequences(words.some(some))
-        out[some] += np.bincount(word, weights[slot] * weight, minlength=len(out[some]))
+        for values, w in zip(out, weights, strict=True):
+            values[some] += np.bincount(word, w[slot] * weight, minlength=len(values[some]))
     return out
 
 
+def decision(words: Words, weights: np.ndarray) -> np.ndarray:
+    """The SVM's decision value of each word."""
+    return decisions(words, [weights])[0]
+
+
 def _kernel_matrix(words: Words, landmarks: Words) -> tuple[np.ndarray, list]:
     """Kernel values of all words with all landmarks, and the landmarks' subsequences (slots, weights)."""
     mark, slot, weight = subsequences(landmarks)
@@ -212,10 +231,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40)))
 
 
-def _features(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
-
-
 def _pairs(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (left, right), right < n, in order."""
     both = np.unique(left.astype(np.int64) * n + right)
@@ -223,138 +238,145 @@ def _pairs(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def _first_of_kind(docs: np.ndarray, words: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Whether a text is the first of its label with its three min-hashes over words.
+    """Whether a text is no near copy of an earlier one of its label, by six triples of min-hashes over its rarer words.
 
     Near copies would count their words as often; this only thins out training rows.
     """
-    keys = np.zeros((len(labels), 4), np.uint64)
-    keys[:, 0] = labels
-    some, begin = np.unique(docs, return_index=True)
-    for k in (1, 2, 3):
-        if len(some):
-            keys[some, k] = np.minimum.reduceat(mix64(words.astype(np.uint64) + np.uint64(k << 40)), begin)
-    _, first = np.unique(keys, axis=0, return_index=True)
-    out = np.zeros(len(labels), bool)
-    out[first] = True
+    out = np.ones(len(labels), bool)
+    often = np.bincount(words) if len(words) else np.zeros(0, np.int64)
+    rare = often[words] <= max(2, 0.01 * len(labels))
+    some, begin = np.unique(docs[rare], return_index=True)
+    if not len(some):
+        return out
+    rare_words = words[rare].astype(np.uint64)
+    for band in range(6):
+        keys = np.zeros((len(some), 4), np.uint64)
+        keys[:, 0] = labels[some]
+        for k in range(3):
+            keys[:, k + 1] = np.minimum.reduceat(mix64(rare_words + np.uint64((3 * band + k + 1) << 40)), begin)
+        _, first = np.unique(keys, axis=0, return_index=True)
+        later = np.ones(len(some), bool)
+        later[first] = False
+        out[some[later]] = False
     return out
 
 
-def positive_words(names: list[str], docs: np.ndarray, words: np.ndarray, labels: np.ndarray) -> list[int]:
-    """Words of features that many toxic texts have and next to no clean one.
-
-    (docs, words) are the distinct pairs of texts and word numbers.  Features that FREQUENT of the toxic texts have
-    are taken as they are; for the texts that these don't explain, further features are chosen greedily by
-    the number of texts they explain.
-    """
-    toxic = labels[docs] == 1
-    number: dict[str, int] = {}
-    for w in np.unique(words[toxic]).tolist():
-        for f in _features(names[w]):
-            number.setdefault(f, len(number))
-    own = [[number[f] for f in _features(name) if f in number] for name in names]
-    size = np.array([len(x) for x in own], np.int64)
-    flat = np.array([f for x in own for f in x], np.int64)
-    begin = np.cumsum(size) - size
-
-    def holders(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d, w = docs[some], words[some]
-        return _pairs(np.repeat(d, size[w]), gather(flat, begin[w], size[w]), len(number))
-
-    n_toxic, n_clean = int((labels == 1).sum()), int((labels == 0).sum())
-    in_clean = np.zeros(len(number), np.int64)
-    for low in range(0, len(labels), 128):
-        in_clean += np.bincount(holders(~toxic & (docs >= low) & (docs < low + 128))[1], minlength=len(number))
-    doc, feature = holders(toxic)
-    in_toxic = np.bincount(feature, minlength=len(number))
-    allowed = (in_toxic >= 2) & (in_clean * n_toxic <= RARE * in_toxic * n_clean)
-    doc, feature = doc[allowed[feature]], feature[allowed[feature]]
-    order = np.argsort(feature, kind="stable")
-    by_feature, at = doc[order], np.r_[0, np.cumsum(np.bincount(feature, minlength=len(number)))]
-    doc_at = np.searchsorted(doc, np.arange(len(labels) + 1))
-    gain = np.where(allowed, in_toxic, 0)
-    explained = np.zeros(len(labels), bool)
-    chosen = np.zeros(len(number), bool)
-
-    def take(f: int) -> None:
-        chosen[f] = True
-        for d in by_feature[at[f] : at[f + 1]].tolist():
-            if not explained[d]:
-                explained[d] = True
-                np.subtract.at(gain, feature[doc_at[d] : doc_at[d + 1]], 1)
-        gain[f] = 0
-
-    for f in np.flatnonzero(gain >= max(4, FREQUENT * n_toxic)).tolist():
-        take(f)
-    while len(gain) and gain.max() >= max(2, n_toxic // 300):
-        take(int(gain.argmax()))
-    seen = np.bincount(words[toxic], minlength=len(names))
-    clean = np.bincount(words[~toxic], minlength=len(names))
-    marked = np.zeros(len(names), bool)
-    marked[np.repeat(np.arange(len(names)), size)[chosen[flat]]] = True
-    marked &= (seen > 0) & (clean * n_toxic <= RARE * seen * n_clean)
-    return sorted(np.flatnonzero(marked).tolist(), key=lambda w: (-seen[w], names[w]))[:POSITIVE_WORDS]
-
-
-def _vocabulary(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _vocabulary(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     """All distinct words, and the distinct (text, word number) pairs in order."""
-    number: dict[int, int] = {}
-    names: list[str] = []
-    docs, ids = [], []
+    number: dict[bytes, int] = {}
+    docs, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for begin in range(0, len(texts), 256):
         words = cut_words(texts[begin : begin + 256])
-        some, first, code = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        known = [number.setdefault(h, len(number)) for h in some.tolist()]
-        new = [i for i, n in enumerate(known) if n >= len(names)]
-        names += words.some(first[new]).texts()
-        d, w = _pairs(np.repeat(np.arange(len(words.at) - 1), np.diff(words.at)), np.array(known, np.int64)[code] if known else code, max(1, len(number)))
+        first, code = words.distinct()
+        known = np.array([number.setdefault(n, len(number)) for n in words.some(first).names()], np.int64)
+        d, w = _pairs(np.repeat(np.arange(len(words.at) - 1), np.diff(words.at)), known[code], max(1, len(number)))
         docs.append((d + begin).astype(np.int32))
         ids.append(w.astype(np.int32))
-    return names, np.concatenate(docs) if docs else np.zeros(0, np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    ends = np.cumsum([len(n) // 4 for n in number], dtype=np.int64)
+    distinct = Words(np.frombuffer(b"".join(number), "<u4"), np.r_[0, ends[:-1]][: len(number)].astype(np.int64), ends, np.array([0, len(number)]))
+    return distinct, np.concatenate(docs), np.concatenate(ids)
+
+
+def mean_discriminants(words: Words, docs: np.ndarray, ids: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+    """For each fold the weights of the subsequences that tell the mean embedding of the other folds' toxic sentences from that
+    of their clean ones.
+
+    A sentence's embedding is the mean of its words'.  The difference of a subsequence's two means is divided by their
+    pooled mean, to which the variance of a rare event is proportional.
+    """
+    share = 1.0 / np.bincount(docs, minlength=len(labels))[docs]
+    parts = [(labels[docs] == y) & (fold != f) for f in range(FOLDS) for y in (0, 1)]
+    each = [np.bincount(ids[p], share[p], minlength=len(words.starts)) / share[p].sum() for p in parts]
+    mean = np.zeros((len(parts), SLOTS))
+    for begin in range(0, len(words.starts), 8192):
+        some = slice(begin, begin + 8192)
+        word, slot, weight = subsequences(words.some(some))
+        for m, e in zip(mean, each, strict=True):
+            m += np.bincount(slot, weight * e[some][word], minlength=SLOTS)
+    pooled = (mean[0::2] + mean[1::2]) / 2
+    return [(toxic - clean) / (p + p[p > 0].mean()) for clean, toxic, p in zip(mean[0::2], mean[1::2], pooled, strict=True)]
+
+
+def _train_words(distinct: Words, witness: np.ndarray, stands_for: np.ndarray, pool: np.ndarray, in_clean: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Weights of the subsequences of an SVM between witnesses and words of clean sentences.
+
+    The clean words are the most common ones, those with the largest present values and others of pool, which is in random order.
+    """
+    common = pool[np.argsort(-in_clean[pool], kind="stable")][: NEGATIVE_WORDS // 4]
+    hard = pool[np.argsort(-value[pool], kind="stable")][: NEGATIVE_WORDS // 2]
+    negative = np.setdiff1d(np.r_[common, hard, pool[: NEGATIVE_WORDS // 4]], witness[in_clean[witness] == 0])
+    half = LANDMARKS // 2
+    marks = np.unique(np.r_[witness[:half], hard[: half // 2], pool[: LANDMARKS - half - half // 2]])
+    k_nm, features = _kernel_matrix(distinct.some(np.r_[witness, negative]), distinct.some(marks))
+    k_mm, _ = _kernel_matrix(distinct.some(marks), distinct.some(marks))
+    spread, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
+    ok = spread > 1e-6 * spread.max()
+    root = vector[:, ok] / np.sqrt(spread[ok])
+    y = np.r_[np.ones(len(witness)), -np.ones(len(negative))]
+    cost = COST * np.r_[stands_for * (len(negative) / stands_for.sum()), in_clean[negative] / in_clean[negative].mean()]
+    alpha = root @ _svm(k_nm @ root, y, cost)
+    out = np.zeros(SLOTS)
+    for a, (s, v) in zip(alpha, features, strict=True):
+        np.add.at(out, s, a * v)
+    return out
+
+
+def _tops(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of equal docs the largest value, and where it is met first."""
+    begin = np.flatnonzero(np.diff(docs, prepend=-1))
+    if not len(begin):
+        return np.zeros(0), np.zeros(0, np.int64)
+    top = np.maximum.reduceat(values, begin)
+    hit = np.flatnonzero(values == np.repeat(top, np.diff(np.r_[begin, len(docs)])))
+    return top, hit[np.searchsorted(hit, begin)]
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> Model | None:
-    """The model of labelled texts, or None where they don't have both labels or nothing to tell them apart.
+    """The model of labelled sentences, or None where they don't have both labels or too few of one.
 
-    After a first fit the words of clean texts with the largest decision values join the negative words, twice.
+    Witnesses are chosen by a function that was trained on the other FOLDS, so a word that is rare by chance can't vouch
+    for itself.  A toxic sentence whose witness isn't above the largest words of all but CALM of the clean sentences
+    of its fold has no witness in that turn.
     """
     weights = weights or [1.0] * len(texts)
     y_doc = np.array(labels, np.int64)
-    names, docs, ids = _vocabulary(texts)
-    joined = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(n) for n in names], dtype=np.int64)
-    distinct = Words(joined, np.r_[0, ends[:-1]][: len(names)], ends, np.array([0, len(names)]))
-    keep = _first_of_kind(docs, ids, y_doc)[docs]
-    positive = positive_words(names, docs[keep], ids[keep], y_doc)
-    clean = np.bincount(ids[y_doc[docs] == 0], minlength=len(names))
-    clean[positive] = 0
-    pool = np.flatnonzero(clean)
-    if not positive or not len(pool):
+    distinct, all_docs, all_ids = _vocabulary(texts)
+    keep = _first_of_kind(all_docs, all_ids, y_doc)[all_docs]
+    docs, ids = all_docs[keep], all_ids[keep]
+    toxic, fold = y_doc[docs] == 1, (mix64(np.arange(len(texts), dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)[docs]
+    if any(not (toxic[fold == f] == y).any() for f in range(FOLDS) for y in (True, False)):
         return None
-    pool = pool[np.argsort(mix64(pool.astype(np.uint64)))]
-    common = pool[np.argsort(-clean[pool], kind="stable")][: NEGATIVE_WORDS // 2]
-    negative = np.union1d(common, pool[: NEGATIVE_WORDS // 2])
-    half = LANDMARKS // 2
-    for hard in (HARD_WORDS, HARD_WORDS, 0):
-        marks = [*dict.fromkeys([*positive[: half // 2], *positive[:: max(1, len(positive) // half)]])][:half]
-        marks += negative[:: max(1, len(negative) // (LANDMARKS - len(marks)))].tolist()[: LANDMARKS - len(marks)]
-        k_nm, features = _kernel_matrix(distinct.some(np.r_[positive, negative]), distinct.some(np.array(marks)))
-        k_mm, _ = _kernel_matrix(distinct.some(np.array(marks)), distinct.some(np.array(marks)))
-        value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
-        ok = value > 1e-6 * value.max()
-        root = vector[:, ok] / np.sqrt(value[ok])
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = COST * np.r_[np.full(len(positive), len(negative) / len(positive)), np.ones(len(negative))]
-        alpha = root @ _svm(k_nm @ root, y, cost)
-        out = np.zeros(SLOTS)
-        for a, (s, v) in zip(alpha, features, strict=True):
-            np.add.at(out, s, a * v)
-        if hard:
-            values = decision(distinct.some(pool), out)
-            worst = np.argsort(-values, kind="stable")[:hard]
-            negative = np.union1d(negative, pool[worst[values[worst] > -1]])
-    best = text_values(np.searchsorted(docs, np.arange(len(texts) + 1)), decision(distinct, out)[ids])
+    shuffled = np.argsort(mix64(np.arange(len(distinct.starts), dtype=np.uint64)))
+    clean = [np.bincount(ids[~toxic & (fold == f)], minlength=len(distinct.starts)) for f in range(FOLDS)]
+    everywhere = sum(clean)
+    pool = shuffled[everywhere[shuffled] > 0]
+    out = mean_discriminants(distinct, docs, ids, y_doc, fold)
+    for _ in range(TURNS):
+        values, chosen = decisions(distinct, out), []
+        for f in range(FOLDS):
+            bad, good = toxic & (fold == f), ~toxic & (fold == f)
+            calm = np.quantile(_tops(docs[good], values[f][ids[good]])[0], 1 - CALM)
+            top, at = _tops(docs[bad], values[f][ids[bad]])
+            chosen.append(ids[bad][at[top > calm]])
+        if not any(map(len, chosen)):
+            return None
+
+        def trained(folds: list[int], value: np.ndarray, now: list[np.ndarray] = chosen) -> np.ndarray:
+            some = np.concatenate([now[f] for f in folds])
+            some = some if len(some) else np.concatenate(now)
+            witness, stands_for = np.unique(some, return_counts=True)
+            order = np.argsort(-stands_for, kind="stable")
+            in_clean = sum(clean[f] for f in folds)
+            return _train_words(distinct, witness[order], stands_for[order], shuffled[in_clean[shuffled] > 0], in_clean, value)
+
+        out = [trained([g for g in range(FOLDS) if g != f], values[f]) for f in range(FOLDS)]
+    last = decision(distinct, sum(out) / FOLDS)
+    for _ in range(3):
+        weight = trained(list(range(FOLDS)), last)
+        last = decision(distinct, weight)
+    best = text_values(np.searchsorted(all_docs, np.arange(len(texts) + 1)), last[all_ids])
     slope, shift = _logistic(best, y_doc.astype(float), np.array(weights))
-    return Model(out.astype(np.float32), slope, shift)
+    return Model(weight.astype(np.float32), slope, shift)
 
 
 def text_values(at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -384,17 +406,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fit on a bounded sample of the labelled rows that aren't held out.
+
+    A doc_id that has both labels counts as toxic.  Of the chosen rows, in order of their hashes, those beyond so many characters
+    together (or the first alone) stay out.
+    """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label, most in ((1, toxic), (0, clean)):
         part = labels.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sized = found.select("doc_id", F.length("text").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    small = found.join(F.broadcast(sized.where((F.col("before") + F.col("n") <= chars) | (F.col("before") == 0)).select("doc_id")), "doc_id", "left_semi")
+    rows = small.select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: r.doc_id)
     scale = {1: max(1.0, sizes.get(1, 0) / toxic), 0: max(1.0, sizes.get(0, 0) / clean)}
     return fit([r.text for r in rows], [r.toxic for r in rows], [scale[r.toxic] for r in rows])
 
@@ -407,8 +438,8 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         words = cut_words(texts)
-        distinct, first, code = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        first, code = words.distinct()
+        keys = words.some(first).names()
         values = list(map(self.cache.get, keys))
         missing = [i for i, v in enumerate(values) if v is None]
         if missing:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textkernel import _power_tables, mix64
+from .textkernel import _LOWER, SHORT, distinct_spans, new_key
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20]] = True
@@ -33,9 +33,8 @@ _LATIN_TAIL[0x80:0xC0] = True
 _LATIN_TAIL[[0x97, 0xB7]] = False
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ",.;:!?"]] = True
-_RAW = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: This process's secret for grouping equal units.
+KEY = new_key()
 _NO = np.zeros(0, np.int64)
 
 
@@ -74,18 +73,6 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray, drop_space: bool) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(n)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_RAW[data] * up[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-
-
 def gather(pool: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices pool[begin[i] : begin[i] + lengths[i]], one after another."""
     if not len(begin):
@@ -95,36 +82,35 @@ def gather(pool: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 class UnitCache:
-    """What a worker has already encoded: unit hash -> bytes of its ids, as encode(texts) gives them.
+    """What a worker has already encoded: a unit's bytes -> bytes of its ids, as encode(texts) gives them.
 
     It lives as long as the worker process and is only a cache of two generations with at most `most` units each:
     when the younger is full it becomes the older, and units of the older that are met again move back.
-    Units above LONG bytes aren't kept.
+    Units above SHORT bytes aren't kept.  Units are told apart by their bytes, never by a hash alone.
     """
 
-    LONG = 64
-
-    def __init__(self, encode, typecode: str, fold_case: bool = False, most: int = 350_000) -> None:
+    def __init__(self, encode, typecode: str, fold_case: bool = False, most: int = 300_000) -> None:
         self.encode, self.typecode, self.fold_case, self.most = encode, typecode, fold_case, most
         self.dtype = np.dtype(typecode)
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, drop_space: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more entry at the end)."""
         starts, ends, at = unit_spans(data, offsets, drop_space)
         # Special strings such as <|...|> are told from others by case.
         folded = _LOWER[data] if self.fold_case and not (data[:-1][data[1:] == 0x7C] == 0x3C).any() else data
-        distinct, first, code = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
-        blobs = self.lookup(distinct, first, data, starts, ends)
+        first, code = distinct_spans(folded, starts, ends, KEY)
+        blobs = self.lookup(folded, data, starts[first].tolist(), ends[first].tolist())
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(blobs), dtype=self.dtype)
         lengths = size[code]
         ids = gather(pool, (np.cumsum(size) - size)[code], lengths)
         return ids, np.r_[0, np.cumsum(lengths)][at]
 
-    def lookup(self, distinct, first, data, starts, ends) -> list[bytes]:
-        keys = distinct.tolist()
+    def lookup(self, folded, data, starts: list[int], ends: list[int]) -> list[bytes]:
+        raw = folded.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         blobs = list(map(self.known.get, keys))
         missing = []
         for i in [i for i, blob in enumerate(blobs) if blob is None]:
@@ -134,12 +120,11 @@ class UnitCache:
             else:
                 blobs[i] = self.known[keys[i]] = blob
         if missing:
-            raw = data.tobytes()
-            rows = first[missing]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
-            for i, text, blob in zip(missing, texts, self.encode(texts), strict=True):
+            raw = raw if folded is data else data.tobytes()
+            texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in missing]
+            for i, blob in zip(missing, self.encode(texts), strict=True):
                 blobs[i] = blob
-                if len(text) <= self.LONG:
+                if len(keys[i]) <= SHORT:
                     self.known[keys[i]] = blob
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
