@@ -53,6 +53,13 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch, least, segment, broadc
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(ROWS, least)
 
 
+def test_a_page_id_that_repeats_with_other_payloads_keeps_both(spark, tmp_path):
+    rows = [(1, "u", "aaa"), (1, "u", "bbb"), (2, "u", "aaa")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.ok) for r in got) == [(1, "response", None, True), (1, "revisit", 2, True), (2, "response", None, True)]
+
+
 def test_missing_segment_is_found(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "abc" * 1000)], "page_id long, url string, html string"), str(tmp_path / "a"), 0, 500)
     file = max((tmp_path / "a").glob("part-*.txt"), key=lambda f: f.stat().st_size)

@@ -7,8 +7,8 @@ the last one with the total length.  Files are plain concatenations of records w
 so that any store that Spark writes to will do.
 
 Reading.  Files are split at record heads, so that large archives are read in parallel.  Records of one block are
-grouped by the identifier of their origin, ordered by segment number and checked against the total length;
-only segmented records are shuffled.  Blocks are decoded from chunked framing and payloads checked against
+grouped by the identifier of their origin, ordered by segment number and checked against the total length; archives are
+read once, and of whole records only the decoded row is shuffled.  Blocks are decoded from chunked framing and payloads checked against
 their digests.
 """
 
@@ -24,13 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 VERSION = b"WARC/1.1"
 HEAD = "WARC/1.1\r\n"
 CHUNK_BYTES, SEGMENT_BYTES = 4096, 32_768
-BROADCAST_REVISITS = 1_000_000
+BROADCAST_REVISITS = 200_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, ok boolean"
-PART = "origin string, number int, total long, header string, block binary"
+#: A whole record's row, or a segment; a whole record has an origin of its own and no segment number.
+PIECE = "origin string, number int, total long, header string, block binary, " + RECORD
 
 
 def payload_digest(payload: bytes) -> str:
@@ -138,11 +141,16 @@ def _strings(values: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_string(), len(binary), binary.buffers()).cast(pa.string())], names=["value"])
 
 
-def find_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload of at least min_bytes a page with a larger id has too."""
-    hashed = pages.where(F.octet_length("html") >= min_bytes).where("page_id is not null").select("page_id", F.sha1("html").alias("digest"))
-    groups = hashed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
-    return hashed.join(groups.select("digest", "refers_to"), "digest").where("page_id <> refers_to").groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
+def find_revisits(hashed: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(id, digest, refers_to): distinct pairs of a page and a payload of at least min_bytes that a page with a larger id has too.
+
+    hashed has id, digest and size of each page.
+    """
+    usable = hashed.where((F.col("size") >= min_bytes) & F.col("id").isNotNull())
+    groups = usable.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to")
+    # The payload of very many pages: a side that is an exchange of its own is one that adaptive execution splits.
+    groups = groups.select(F.concat("digest", F.lit("")).alias("digest"), "refers_to")
+    return usable.select("id", "digest").distinct().join(groups, "digest").where("id <> refers_to").select("id", "digest", "refers_to")
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -150,13 +158,14 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
 
     Of pages with equal payloads of at least min_bytes that with the largest page_id is a response, those with other ids
     are revisits that refer to it; all others are responses.  A null html is an empty payload, a null url is about:blank,
-    pages with a null page_id are responses.  Repeated rows are records of their own.  Other columns are ignored.
+    pages with a null page_id are responses.  Repeated rows are records of their own; a page_id that repeats with other
+    payloads is treated for each payload by itself.  Other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html"))
-    revisits = find_revisits(pages, min_bytes)
+    revisits = cut(find_revisits(pages.select(F.col("page_id").alias("id"), F.sha1("html").alias("digest"), F.octet_length("html").alias("size")), min_bytes))
     if revisits.count() <= BROADCAST_REVISITS:
         revisits = F.broadcast(revisits)
-    marked = pages.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    marked = pages.join(revisits, (F.col("page_id") == F.col("id")) & (F.sha1("html") == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
     marked.mapInArrow(_write(segment_bytes), "value string").write.option("lineSep", "\r\n\r\n").mode("errorifexists").text(path)
 
 
@@ -217,38 +226,36 @@ def _row(fields: dict[str, str], block: bytes | None) -> tuple:
     return page, kind, refers, size, digest, block is not None and digest == stated
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "ok"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+_TYPES = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "ok": pa.bool_()}
+_SEGMENT = {"origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "header": pa.string(), "block": pa.binary()}
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for fields, _, block in _pieces(batches):
-        if fields.get("warc-type") in ("response", "revisit") and "warc-segment-number" not in fields:
-            rows.append(_row(fields, block))
-            if len(rows) == 2000:
-                yield _rows(rows)
-                rows = []
-    if rows:
-        yield _rows(rows)
+def _rows(rows: list[tuple], types: dict[str, pa.DataType] = _TYPES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PIECE: whole records are decoded here and leave only their row, segments leave their block."""
+    task, rows, size = TaskContext.get().partitionId(), [], 0
+    types, whole, none = _SEGMENT | _TYPES, 0, (None,) * len(_TYPES)
     for fields, head, block in _pieces(batches):
         if "warc-segment-number" in fields:
-            number = int(fields["warc-segment-number"])
+            number, total = int(fields["warc-segment-number"]), fields.get("warc-segment-total-length")
             origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
-            total = fields.get("warc-segment-total-length")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([origin]), pa.array([number], pa.int32()), pa.array([int(total) if total else None], pa.int64()), pa.array([head if number == 1 else None], pa.string()), pa.array([block], pa.binary())],
-                names=["origin", "number", "total", "header", "block"],
-            )
+            rows.append((origin, number, int(total) if total else None, head if number == 1 else None, block, *none))
+            size += len(block)
+        elif fields.get("warc-type") in ("response", "revisit"):
+            whole += 1
+            rows.append((f"{task}/{whole}", None, None, None, None, *_row(fields, block)))
+        if len(rows) == 2000 or size > 8_000_000:
+            yield _rows(rows, types)
+            rows, size = [], 0
+    if rows:
+        yield _rows(rows, types)
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole records from segments sorted by origin and number; one record is held at a time."""
+    """Rows of RECORD from rows of PIECE sorted by origin and number; one segmented record is held at a time."""
     now, head, blocks, numbers, total = None, None, [], [], None
     rows: list[tuple] = []
 
@@ -259,7 +266,10 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.append(_row(fields, block if complete and head is not None else None))
 
     for batch in batches:
-        for origin, number, all_, header, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for origin, number, all_, header, block, *whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if number is None:
+                rows.append(tuple(whole))
+                continue
             if origin != now:
                 if now is not None:
                     done()
@@ -285,7 +295,5 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     whose payloads hold the first line of a record must have files below the split size.
     """
     pieces = spark.read.option("lineSep", HEAD).text(path).where("value <> ''").select(F.col("value").cast("binary").alias("value"))
-    whole = pieces.mapInArrow(_whole, RECORD)
-    parts = pieces.mapInArrow(_segments, PART)
-    joined = parts.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_reassemble, RECORD)
-    return whole.unionByName(joined)
+    parsed = pieces.mapInArrow(_parse, PIECE)
+    return parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_reassemble, RECORD)
