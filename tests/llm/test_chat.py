@@ -66,3 +66,21 @@ def test_templates_see_the_whole_conversation(spark):
     with pytest.raises(Exception, match="give no segment"):
         chat.format_conversations(df, prologue, segment=32).collect()
     assert [r.n_turns for r in chat.format_conversations(df, segment=32).collect()] == [32, 32, 6]
+
+
+def naive(template, turns):
+    """Spans of the turns by rendering every prefix, and whether an output doesn't begin with the one before it."""
+    outputs = [template(turns[:i]) for i in range(len(turns) + 1)]
+    rewrites = any(not b.startswith(a) for a, b in zip(outputs, outputs[1:]))
+    return rewrites, [] if rewrites else [(len(a), len(b)) for a, b in zip(outputs, outputs[1:])]
+
+
+def test_long_conversations_equal_rendering_every_prefix(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <s>") for t in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(r, x) for _, _, r, x in rows]
+    body = lambda ts: "".join(f"[{r}|{x}]" for r, x in ts)
+    for template in (chat.marked_turns, lambda ts: "HEAD" + body(ts), lambda ts: body(ts) + "FOOT", lambda ts: body(ts) if len(ts) <= 40 else "dropped" + body(ts[1:])):
+        (row,) = chat.format_conversations(df, template).collect()
+        rewrites, spans = naive(template, turns)
+        assert row.formatted == template(turns) and row.rewrites == rewrites and list(zip(row.starts, row.ends)) == spans

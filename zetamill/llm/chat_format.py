@@ -6,7 +6,8 @@ before it shows a template that rewrites history.  Where a turn's text stands in
 the turn with two different one-letter texts: what these outputs share before and after is the turn's frame.
 
 Conversations are streamed: rows are dealt by conversation and sorted by turn.  Prefixes are those of the whole
-conversation, which a task holds, and its renderings grow with the square of its turns.  For a template that renders
+conversation: each turn costs three renderings of all turns up to it, so the time grows with the square of a conversation's
+turns, which a black box doesn't allow to avoid; a task holds one conversation and two outputs.  For a template that renders
 turns independently of the turns before them a number of turns for a segment can be given: the memory and the number of
 renderings of a very long conversation are then bounded by the segment, and at each boundary both sides are also
 rendered together; where that isn't their outputs one after the other, the operator fails.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-SEGMENT = 32
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.DOTALL)
 SCHEMA = "conv_id long, segment long, n_turns int, formatted string, rewrites boolean, starts array<long>, ends array<long>, text_starts array<long>, text_ends array<long>, loss array<boolean>"
