@@ -162,22 +162,58 @@ def links_between(sets: list[np.ndarray], n_left: int, percent: int) -> list[tup
 
 def likely_links(sketches: np.ndarray, n_left: int, percent: int) -> list[tuple[int, int]]:
     """Links that join the rows whose sketches agree in as many places as a pair of the least similarity may."""
-    share = percent / 100
-    least = COMPARED * (share - 5.5 * (share * (1 - share) / COMPARED) ** 0.5)
+    least = _least_agreement(percent)
     return forest(len(sketches), n_left, lambda i: np.flatnonzero((sketches == sketches[i]).sum(axis=1) >= least))
 
 
+def _least_agreement(percent: int) -> float:
+    share = percent / 100
+    return COMPARED * (share - 5.5 * (share * (1 - share) / COMPARED) ** 0.5)
+
+
+def _compared(rows: pa.Table, kind: str, k: int, percent: int, key: bytes) -> pa.RecordBatch:
+    """The links of some whole chunks, whose rows come one chunk after another, those of side 0 first."""
+    group, chunk, side, reps = (rows.column(c).to_numpy() for c in ("group", "chunk", "side", "rep"))
+    begin = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])])
+    end = np.r_[begin[1:], len(group)]
+    n_left = np.add.reduceat(side == 0, begin, dtype=np.int64)
+    some = np.flatnonzero((end - begin > 1) & (n_left > 0))
+    pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    if kind == "text":
+        sets = [s for part in rows.column("load").chunks for _, _, data, offsets in text_blocks(part) for s in shingle_sets(data, offsets, k, key)]
+        compare = lambda a, b, n: links_between(sets[a:b], n, percent)
+    else:
+        sketches = np.frombuffer(b"".join(rows.column("load").to_pylist()), np.uint16).reshape(len(reps), -1)[:, :COMPARED].astype(np.uint8)
+        compare = lambda a, b, n: likely_links(sketches[a:b], n, percent)
+        twos = begin[some][(end - begin)[some] == 2]  # most buckets
+        alike = (sketches[twos] == sketches[twos + 1]).sum(axis=1) >= _least_agreement(percent)
+        pairs.append(np.c_[twos, twos + 1][alike])
+        some = some[(end - begin)[some] > 2]
+    for i in some.tolist():
+        found = compare(int(begin[i]), int(end[i]), int(n_left[i]))
+        if found:
+            pairs.append(np.array(found, np.int64) + begin[i])
+    flat = np.concatenate(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(reps[flat[:, 0]]), pa.array(reps[flat[:, 1]])], names=["a", "b"])
+
+
 def _compare(kind: str, k: int, percent: int, key: bytes):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("side", "ascending"), ("rep", "ascending")])
-        reps, n_left = table.column("rep").to_numpy(), int((table.column("side").to_numpy() == 0).sum())
-        if kind == "text":
-            sets = [s for chunk in table.column("load").chunks for _, _, data, offsets in text_blocks(chunk) for s in shingle_sets(data, offsets, k, key)]
-            pairs = links_between(sets, n_left, percent)
-        else:
-            sketches = np.frombuffer(b"".join(table.column("load").to_pylist()), np.uint16).reshape(len(reps), -1)
-            pairs = likely_links(sketches[:, :COMPARED].astype(np.uint8), n_left, percent)
-        return pa.table({"a": pa.array([reps[i] for i, _ in pairs], pa.int64()), "b": pa.array([reps[j] for _, j in pairs], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are in order of group and chunk; the last chunk of a batch waits for the next batch."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            group, chunk = rows.column("group").to_numpy(), rows.column("chunk").to_numpy()
+            last = np.flatnonzero((group != group[-1]) | (chunk != chunk[-1]))
+            cut_at = int(last[-1]) + 1 if len(last) else 0
+            if cut_at:
+                yield _compared(rows.slice(0, cut_at), kind, k, percent, key)
+            held = rows.slice(cut_at)
+        if held is not None:
+            yield _compared(held, kind, k, percent, key)
 
     return run
 
@@ -190,8 +226,9 @@ def _grouped_links(members: DataFrame, loads: DataFrame, compare) -> DataFrame:
 
     def links(tasks: DataFrame) -> DataFrame:
         # Rows that are already dealt by group alone would not be dealt again, and one group's chunks would share a task.
-        rows = tasks.join(loads, "rep").select("group", "chunk", "rep", "side", "load")
-        return cut(rows.repartition("group", "chunk").groupBy("group", "chunk").applyInArrow(compare, "a long, b long").where("a <> b"))
+        rows = tasks.join(loads, "rep").select("group", "chunk", "side", "rep", "load")
+        placed = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "side", "rep")
+        return cut(placed.mapInArrow(compare, "a long, b long").where("a <> b"))
 
     slot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_chunks").cast("long")).cast("int")
     pivot = (F.col("n_chunks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) < F.lit(PIVOT_SHARE * (1 << 20)) / F.col("n_chunks"))
