@@ -16,23 +16,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the toxicity model, trained on this stage's labelled documents, doesn't predict toxic."""
+    """Documents whose text the toxicity model, trained on this stage's labelled documents, doesn't predict toxic.
+
+    Null and empty texts count as texts without words; repeated rows are judged alike; without labels of both kinds, and for an
+    empty table, all rows stay.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are boilerplate of their source; n_chars follows the text."""
+    """All documents, without lines that are boilerplate of their source; n_chars follows the text.
+
+    Null texts stay null, rows without a source stay as they are, repeated rows are pages of their own, an empty table stays
+    empty.
+    """
     out = line_dedup.dedup_lines(docs, host="source")
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id.
+
+    Texts without words and rows without an id stay; rows that repeat an id leave one; an empty table stays empty.
+    """
     return minhash_dedup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are one piece of the end token alone, repeated rows are packed as often as they come, an empty table gives
+    an empty table.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zetamill.functions.encoding import bit_string, morton_key
+from zetamill.session import materialise
 
 
 def usable(vectors: DataFrame, dims: int) -> DataFrame:
@@ -56,9 +57,10 @@ def read_until_unique(vectors: DataFrame, dims: int, target: int, shift: float =
 def numbered(keys: DataFrame) -> DataFrame:
     """keys with their index from 0 in ascending order.
 
-    Range partitions are numbered by their sizes, so no task sees more than its own range.
+    Range partitions are numbered by their sizes, so no task sees more than its own range.  The placed keys are written
+    down, as two plans of one shuffle need not place them alike.
     """
-    placed = keys.repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    placed = materialise(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     local = placed.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("k")))

@@ -32,13 +32,27 @@ def method_order() -> list[Column]:
 
 
 def latest_runs(runs: DataFrame, order: str, drop: str = "dictionary") -> DataFrame:
-    """The last row of each measurement by `order`, without rows of the method to drop."""
-    last = Window.partitionBy(*RUN_KEYS).orderBy(F.desc(order))
-    return runs.where(F.col("method") != drop).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    """The last row of each measurement by `order` (ties to the larger values of the other columns), without rows of the method to drop.
+
+    An aggregate that combines on the map side, so a measurement with very many rows isn't sorted in one task.
+    """
+    rest = [c for c in runs.columns if c not in RUN_KEYS]
+    last = runs.where(F.col("method") != drop).groupBy(*RUN_KEYS).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("__last"))
+    return last.select(*[F.col(c) if c in RUN_KEYS else F.col("__last")[c].alias(c) for c in runs.columns])
+
+
+def chosen(runs: DataFrame, **values: list) -> DataFrame:
+    """Rows whose columns have one of the given values each; an empty list leaves a column free."""
+    for column, some in values.items():
+        runs = runs.where(F.col(column).isin(some)) if some else runs
+    return runs
 
 
 def numeric_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns as doubles; rows where one isn't a number are dropped."""
+    """Columns as doubles; rows where one isn't a number are dropped.  An error names the columns that are missing."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
     for c in columns:
         rows = rows.withColumn(c, F.col(c).try_cast("double"))
     return rows.dropna(subset=columns)
@@ -137,6 +151,12 @@ def against_fixed(rows: DataFrame, fixed: DataFrame) -> DataFrame:
     return rows
 
 
+def finalize_breakdown(summary: DataFrame) -> DataFrame:
+    """(cfg, kind, n): finalised nodes that were met before (shared) and those that were new (unique)."""
+    kinds = F.explode(F.create_map(F.lit("shared"), F.col("memo_hits").cast("long"), F.lit("unique"), F.col("unique_nodes").cast("long"))).alias("kind", "n")
+    return summary.select("cfg", kinds)
+
+
 def depth_profile(depths: DataFrame) -> DataFrame:
     """Sharing rate by place in the key, of by-depth counters with the number of levels."""
     rate = F.coalesce(F.col("memo_hits") / F.nullif("finalize_calls", F.lit(0)), F.lit(0.0))
@@ -154,6 +174,12 @@ def size_ratio(runs: DataFrame) -> DataFrame:
     return runs.withColumn("ratio", F.col("total_bytes") / F.nullif(raw, F.lit(0.0)))
 
 
+def dictionary_ratio(runs: DataFrame, dictionary_bytes: DataFrame) -> DataFrame:
+    """Each row's bytes over those of the byte dictionary of its keys; dictionary_bytes has dim, dtype, n_keys, dictionary_bytes."""
+    both = runs.join(F.broadcast(dictionary_bytes), ["dim", "dtype", "n_keys"], "left")
+    return both.withColumn("dictionary_ratio", F.col("total_bytes") / F.nullif("dictionary_bytes", F.lit(0)))
+
+
 def nearest_thresholds(wanted: list[float], there: list[float], most: int = 4) -> list[float]:
     """Of the thresholds that are there, those nearest to the wanted ones, without repeats."""
     return list(dict.fromkeys(min(there, key=lambda t: (abs(t - w), t)) for w in wanted))[:most] if there else []
@@ -168,6 +194,26 @@ def size_text(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n, F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_number(n / 1024.0, 2), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / float(1 << 20), 2), F.lit(" MB")))
 
 
+def time_text(seconds: Column) -> Column:
+    """A time for display: microseconds, milliseconds or seconds."""
+    return F.when(seconds < 1e-3, F.concat(F.format_number(seconds * 1e6, 1), F.lit(" us"))).when(seconds < 1, F.concat(F.format_number(seconds * 1e3, 1), F.lit(" ms"))).otherwise(F.concat(F.format_number(seconds, 2), F.lit(" s")))
+
+
+def count_text(n: Column) -> Column:
+    """A number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def double_list(text: Column) -> Column:
+    """"0.5, 0.3" as a sorted array of doubles; entries that aren't numbers go."""
+    return F.sort_array(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull()))
+
+
+def string_list(text: Column) -> Column:
+    """"a, b" as an array of trimmed strings in their order; empty entries go."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def int_list(text: Column) -> Column:
     """"8, 4,16" as a sorted array of integers."""
     return F.sort_array(F.transform(F.split(text, ","), lambda x: F.trim(x).cast("int")))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zetamill.functions.encoding import bit_width, ceil_log2, symbol_capacity
+from zetamill.session import materialise
 
 #: Fixed values of the cost model: weights of saturation, branching and adjacency, and of the bonus for their lack.
 PENALTY = (22.0, 12.0, 10.0)
@@ -37,9 +36,10 @@ def with_previous(keys: DataFrame) -> DataFrame:
     """keys with the key before each in ascending order.
 
     Keys are range-partitioned and compared inside a partition; the first key of a partition gets the last key of
-    the nearest partition before it that isn't empty, so nothing is sorted in one task.
+    the nearest partition before it that isn't empty, so nothing is sorted in one task.  The placed keys are written down, as
+    two plans of one shuffle need not place them alike.
     """
-    placed = keys.select("k").repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    placed = materialise(keys.select("k").repartitionByRange("k").withColumn("part", F.spark_partition_id()))
     ends = placed.groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last"))
     seam = ends.select(F.col("first").alias("k"), F.lag("last").over(Window.orderBy("part")).alias("seam"))
     inner = placed.withColumn("before", F.lag("k").over(Window.partitionBy("part").orderBy("k")))
@@ -87,15 +87,13 @@ def uniform(group_bits: int, n_bits: int) -> list[int]:
     return [min(group_bits, n_bits - s) for s in range(0, n_bits, group_bits)]
 
 
-def phase_aware(n_bits: int, prefix_end: float = 0.20, suffix_start: float = 0.70, prefix_width: int = 1024, middle_width: int = 16, suffix_width: int = 128) -> list[int]:
-    """Three phases with a width each, clipped at the end of a phase."""
-    prefix_end = min(1.0, max(0.0, prefix_end))
-    suffix_start = max(prefix_end, min(1.0, suffix_start))
-    out, at = [], 0
-    for end, width in ((int(n_bits * prefix_end), prefix_width), (int(n_bits * suffix_start), middle_width), (n_bits, suffix_width)):
-        while at < end:
-            out.append(min(max(1, width), end - at))
-            at += out[-1]
+def phase_aware(n_bits: int, ends: tuple[float, float] = (0.20, 0.70), widths: tuple[int, int, int] = (1024, 16, 128)) -> list[int]:
+    """Three phases, each up to a share of the key and with a width of its own; a phase's last segment is clipped."""
+    first, second = (min(1.0, max(0.0, e)) for e in ends)
+    stops = [int(n_bits * first), int(n_bits * max(first, second)), n_bits]
+    out: list[int] = []
+    for start, stop, width in zip([0, *stops], stops, widths):
+        out += [min(max(1, width), stop - at) for at in range(start, stop, max(1, width))]
     return out
 
 
@@ -119,32 +117,38 @@ def greedy(keys: DataFrame, n_bits: int, threshold: float, widths: tuple[int, ..
     return [r.width for r in greedy_rows(keys, n_bits, threshold, widths)]
 
 
+#: Fixed values of the tie rule: costs within this share of a positive best cost tie, or within this amount of any other;
+#: saturated or restless slices, and calm ones by rho and by adjacency.
+TIE, RESTLESS, CALM = 0.05, 0.75, (0.20, 0.25)
+
+
+def _preference(r, rival) -> tuple:
+    """A key by which of two candidates that tie the one with the larger key is taken; r decides the rule."""
+    if r.rho > RESTLESS or r.adjacency_rate > RESTLESS:
+        rule = lambda c: (-c.width,)
+    elif r.rho < CALM[0] and r.adjacency_rate < CALM[1]:
+        rule = lambda c: (c.width,)
+    else:
+        rule = lambda c: (-c.rho, c.width)
+    return rule(r), rule(rival)
+
+
 def choose_by_cost(rows: list, threshold: float) -> int:
-    """The width of least cost among candidates within the threshold; scores within 5 % tie by shape.
+    """The width of least cost among candidates within the threshold; near scores tie by shape.
 
-    rows have width, cost, rho and adjacency_rate.  Of two that tie, saturated or restless slices take the narrower, calm and
+    rows have width, cost, rho and adjacency_rate; they are met from the widest on.  Scores tie within 5 % of the best one where that is
+    positive, and within 0.05 otherwise.  Of two that tie, saturated or restless slices take the narrower, calm and
     repetitive ones the wider; otherwise lower rho wins, then the wider.  Where none is within the threshold
     the narrowest is taken.
     """
     best = None
-    for r in sorted(rows, key=lambda r: -r.width):
-        if r.rho > threshold:
-            continue
-        if best is None:
-            best = r
-            continue
-        margin = 0.05 * abs(best.cost) if abs(best.cost) > 0 and math.isfinite(best.cost) else 0.05
-        if r.cost + margin < best.cost:
+    for r in sorted((r for r in rows if r.rho <= threshold), key=lambda r: -r.width):
+        margin = TIE * best.cost if best is not None and best.cost > 0 else TIE
+        if best is None or r.cost + margin < best.cost:
             best = r
         elif abs(r.cost - best.cost) <= margin:
-            if r.rho > 0.75 or r.adjacency_rate > 0.75:
-                better = r.width < best.width
-            elif r.rho < 0.20 and r.adjacency_rate < 0.25:
-                better = r.width > best.width
-            else:
-                better = r.rho < best.rho or (r.rho == best.rho and r.width > best.width)
-            if better:
-                best = r
+            own, other = _preference(r, best)
+            best = r if own > other else best
     return best.width if best is not None else min(r.width for r in rows)
 
 

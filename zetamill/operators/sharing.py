@@ -5,22 +5,102 @@ automaton node (class).  A set of suffixes is named by the XOR of two 64-bit has
 the map side whatever a node's size (the root has every key).  So the automaton is two aggregations of (key, depth)
 rows, for any number of key sets ("configurations") at once.
 
-Keys are bit strings; a configuration's chunk widths are an array `widths` whose sum is the padded key length.
+The rows come from one pass over the keys: hashes of all prefixes and suffixes roll along the chunks, so the work and
+the rows' bytes are proportional to the keys' bytes.  A row carries hashes and its own chunk, never the key.
+
+Keys are BINARY, packed from the most significant bit on, or strings of '0' and '1'; a configuration's chunk widths are an
+array `widths`, whose sum is the key length filled up with zeros.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zetamill.functions.encoding import bit_width, compressed_bytes, fixed_bytes
 from zetamill.session import materialise
 
-
-def _pair(x: Column) -> tuple[Column, Column]:
-    return F.xxhash64(x), F.xxhash64(F.lit(1), x)
+_ROWS = "cfg string, k1 long, k2 long, d int, w int, p1 long, p2 long, x1 long, x2 long, y1 long, y2 long, label binary, last boolean"
+_SEEDS = np.array([[0x9E3779B97F4A7C15, 0xD1342543DE82EF95], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]], np.uint64)
+#: Bits of keys that are worked on at a time.
+AT_ONCE = 1 << 25
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers with full avalanche."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _chunk_hashes(chunk: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of each row of packed bytes."""
+    n, size = chunk.shape
+    lanes = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    lanes[:, :size] = chunk
+    out = np.full(n, seed, np.uint64)
+    for lane in lanes.view(np.uint64).T:
+        out = _mix(out * np.uint64(3) ^ _mix(lane + seed))
+    return out
+
+
+def _trie_of(bits: np.ndarray, widths: list[int]) -> list[np.ndarray | list]:
+    """Columns k1 .. last of _ROWS but cfg, chunk by chunk, of the rows of an array of bits."""
+    n, starts = len(bits), np.r_[0, np.cumsum(widths)].tolist()
+    chunks = [np.packbits(bits[:, a:b], axis=1) for a, b in zip(starts, starts[1:], strict=False)]
+    hashes = [[_chunk_hashes(c, _SEEDS[i, 0]) for c in chunks] for i in range(2)]
+    before, after = [], []
+    for i in range(2):
+        now = np.full(n, _SEEDS[i, 1], np.uint64)
+        forth = [now]
+        for h in hashes[i]:
+            now = _mix(now * np.uint64(5) + h)
+            forth.append(now)
+        now = np.full(n, ~_SEEDS[i, 1], np.uint64)
+        back = [now]
+        for h in reversed(hashes[i]):
+            now = _mix(now * np.uint64(7) + h)
+            back.append(now)
+        before.append(np.stack(forth[:-1]))
+        after.append(np.stack(back[::-1]))
+    depth = len(widths)
+    key = [np.broadcast_to(after[i][0], (depth, n)).ravel() for i in range(2)]
+    numbers = [*key, np.repeat(np.arange(depth), n), np.repeat(widths, n), before[0].ravel(), before[1].ravel(), after[0][:-1].ravel(), after[1][:-1].ravel(), after[0][1:].ravel(), after[1][1:].ravel()]
+    flat, size = [c.ravel() for c in chunks], np.repeat([c.shape[1] for c in chunks], n)
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    labels = pa.Array.from_buffers(pa.binary(), n * depth, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat))])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
+    return [pa.array((x.view(np.int64) if x.dtype == np.uint64 else x), t) for x, t in zip(numbers, types, strict=True)] + [labels, pa.array(np.repeat(np.arange(depth) == depth - 1, n))]
+
+
+def _explode(packed: bool):
+    names = ["cfg", "k1", "k2", "d", "w", "p1", "p2", "x1", "x2", "y1", "y2", "label", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, (cfg, widths) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                groups.setdefault((cfg, tuple(widths)), []).append(i)
+            for (cfg, widths), places in groups.items():
+                total = sum(widths)
+                step = max(1, AT_ONCE // max(1, total))
+                for begin in range(0, len(places), step):
+                    keys = batch.column(1).take(pa.array(places[begin : begin + step])).to_pylist()
+                    raw = [(k if packed else k.encode()) for k in keys]
+                    each = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+                    some = np.unpackbits(each, axis=1) if packed else each - ord("0")
+                    bits = np.zeros((len(raw), total), np.uint8)
+                    bits[:, : some.shape[1]] = some[:, :total]
+                    columns = _trie_of(bits, list(widths))
+                    yield pa.RecordBatch.from_arrays([pa.array([cfg] * len(columns[0]), pa.string()), *columns], names=names)
+
+    return run
 
 
 def uniform_widths(n_bits: Column, group_bits: Column) -> Column:
@@ -40,20 +120,13 @@ class Automaton:
 def build(keyed: DataFrame, keep: bool = False) -> Automaton:
     """keyed(cfg, k, widths): distinct keys of each configuration, all keys of one having one length.
 
-    keep writes keys, nodes and edges to the checkpoint folder, for statistics that go through them several times.
+    keep writes the exploded trie, nodes and edges down, for statistics that go through them several times.
     """
-    keyed = materialise(keyed) if keep else keyed
-    padded = keyed.select("cfg", F.rpad("k", F.aggregate("widths", F.lit(0), lambda s, w: s + w), "0").alias("k"), "widths")
-    ends = F.transform(F.sequence(F.lit(1), F.size("widths")), lambda i: F.aggregate(F.slice("widths", 1, i), F.lit(0), lambda s, w: s + w))
-    rows = padded.select("cfg", "k", "widths", F.posexplode(ends).alias("d", "stop"))
-    width = F.element_at("widths", F.col("d") + 1)
-    start = F.col("stop") - width
-    rest = F.substr(F.col("k"), start + 1)
-    below = F.substr(F.col("k"), F.col("stop") + 1)
-    trie = rows.select(
-        "cfg", "k", "d", width.alias("w"), F.xxhash64(F.substr(F.col("k"), F.lit(1), start)).alias("p1"), F.xxhash64(F.lit(1), F.substr(F.col("k"), F.lit(1), start)).alias("p2"),
-        F.substr(F.col("k"), start + 1, width).alias("label"), _pair(rest)[0].alias("x1"), _pair(rest)[1].alias("x2"), _pair(below)[0].alias("y1"), _pair(below)[1].alias("y2"), (F.col("d") == F.size("widths") - 1).alias("last"),
-    )
+    packed = isinstance(keyed.schema["k"].dataType, T.BinaryType)
+    # A key's rows are many times the key in number, so small key tables are dealt to all tasks.
+    placed = keyed.select("cfg", "k", "widths").repartition(F.xxhash64("k"))
+    trie = placed.mapInArrow(_explode(packed), _ROWS)
+    trie = materialise(trie) if keep else trie
     node = ["cfg", "d", "p1", "p2"]
     nodes = trie.groupBy(*node).agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
     edges = trie.groupBy(*node, "label").agg(F.bit_xor("y1").alias("c1"), F.bit_xor("y2").alias("c2"), F.first("w").alias("w"), F.first("last").alias("last"))
@@ -67,7 +140,7 @@ def classes(a: Automaton) -> DataFrame:
 
 
 def class_edges(a: Automaton) -> DataFrame:
-    """(cfg, d, s1, s2, label, c1, c2, w, last): the automaton's edges; last marks those into the terminal."""
+    """(cfg, d, s1, s2, label, c1, c2, w, last): the automaton's edges; labels are packed, last marks those into the terminal."""
     return a.edges.join(a.nodes, ["cfg", "d", "p1", "p2"]).select("cfg", "d", "s1", "s2", "label", "c1", "c2", "w", "last").distinct()
 
 
@@ -107,9 +180,10 @@ def path_compression(a: Automaton) -> DataFrame:
     key paths, so a chain's length is a run of consecutive depths on a path; the longest label has one chunk more.
     """
     compressible = in_degrees(a).where("in_degree = 1").join(classes(a).where("deg = 1"), ["cfg", "d", "s1", "s2"]).select("cfg", "d", "s1", "s2")
-    on_path = a.trie.select("cfg", "k", "d", "p1", "p2").join(a.nodes.join(compressible, ["cfg", "d", "s1", "s2"]).select("cfg", "d", "p1", "p2"), ["cfg", "d", "p1", "p2"])
-    island = on_path.select("cfg", "k", (F.col("d") - F.row_number().over(Window.partitionBy("cfg", "k").orderBy("d"))).alias("island"))
-    longest = island.groupBy("cfg", "k", "island").agg(F.count("*").alias("n")).groupBy("cfg").agg(F.max("n").alias("longest"))
+    on_path = a.trie.select("cfg", "k1", "k2", "d", "p1", "p2").join(a.nodes.join(compressible, ["cfg", "d", "s1", "s2"]).select("cfg", "d", "p1", "p2"), ["cfg", "d", "p1", "p2"])
+    key = ["cfg", "k1", "k2"]
+    island = on_path.select(*key, (F.col("d") - F.row_number().over(Window.partitionBy(*key).orderBy("d"))).alias("island"))
+    longest = island.groupBy(*key, "island").agg(F.count("*").alias("n")).groupBy("cfg").agg(F.max("n").alias("longest"))
     counts = class_edges(a).groupBy("cfg").agg(F.count("*").alias("edges"), F.sum("w").alias("label_bits"))
     merged = compressible.groupBy("cfg").agg(F.count("*").alias("compressible"))
     out = counts.join(merged, "cfg", "left").join(longest, "cfg", "left")

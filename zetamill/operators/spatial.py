@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +56,70 @@ def box_batch(vectors: DataFrame, queries: DataFrame, most_cells: int = 16) -> D
     return by_cell.unionByName(vectors.join(queries.where(~narrow), whole).select("qid", "vec_id"))
 
 
+def distinct_points(vectors: DataFrame) -> DataFrame:
+    """One row, that of the least vec_id, for each distinct point.
+
+    Points are grouped by 128 bits of their values; a hash of a float array is that of its bits but for -0.0, which is 0.0.
+    """
+    digest = (F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
+    return vectors.groupBy(digest[0].alias("h1"), digest[1].alias("h2")).agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("p")).select("p.*")
+
+
 def nearest(vectors: DataFrame, point: list[float], k: int) -> DataFrame:
-    """The k nearest vectors by Euclidean distance (float), ties by vec_id: a distributed top-k."""
+    """The k nearest distinct points by Euclidean distance (float), ties by vec_id: a distributed top-k.
+
+    A point that several rows hold counts once, with its least vec_id.  Nothing comes out where there are fewer than k points.
+    """
     distance = F.sqrt(squared_distance(F.col("embedding"), array_of(point))).cast("float")
-    return vectors.select("vec_id", distance.alias("distance")).orderBy("distance", "vec_id").limit(k)
+    found = distinct_points(vectors).select("vec_id", distance.alias("distance")).orderBy("distance", "vec_id").limit(k)
+    enough = F.count("*").over(Window.partitionBy()) >= k  # of the k rows at most that the limit left
+    return found.withColumn("__enough", enough).where("__enough").drop("__enough")
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, vec_id, distance) of the k nearest vectors of each of queries(qid, point).
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 0, block_rows: int = 1024) -> DataFrame:
+    """(qid, rank, vec_id, distance) of the k nearest distinct points of each of queries(qid, point).
 
-    Each task keeps the k best of its own vectors for a query (window group limit) before anything is shuffled.
+    A stated set of queries against all rows, in blocks: queries are sent in blocks of about block_rows to the tasks that hold
+    the rows, which compute a block's distances as matrices and keep the k best of each query before anything is shuffled.
     """
-    scored = vectors.crossJoin(queries).select("qid", "vec_id", F.sqrt(squared_distance(F.col("embedding"), F.col("point"))).cast("float").alias("distance"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")))
+    n = queries.count()
+    blocks = blocks or max(1, -(-n // block_rows))
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("qid", "point")).alias("queries"))
+    # A block has about block_rows queries, and so has a bounded size; there is one row for each block.
+    near = None
+    for block in packed.toLocalIterator():
+        ids = np.array([q.qid for q in block.queries], np.int64)
+        points = np.array([q.point for q in block.queries], np.float32)
+        part = distinct_points(vectors).mapInArrow(_nearest_of(ids, points, k), "qid long, vec_id long, distance float")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return vectors.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, distance float")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "vec_id", "distance")
 
 
+def _nearest_of(ids: np.ndarray, points: np.ndarray, k: int):
+    def run(batches):
+        best_d, best_v = np.full((len(ids), 0), np.inf, np.float32), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            vec = batch.column(0).to_numpy()
+            strip = max(1, (1 << 22) // max(1, rows.shape[1] * len(ids)))
+            for begin in range(0, len(vec), strip):
+                x, v = rows[begin : begin + strip], vec[begin : begin + strip]
+                square = ((x[None, :, :] - points[:, None, :]).astype(np.float64) ** 2).sum(axis=2)
+                d = np.concatenate([best_d, np.sqrt(square).astype(np.float32)], axis=1)
+                w = np.concatenate([best_v, np.broadcast_to(v, (len(ids), len(v)))], axis=1)
+                order = np.lexsort((w, d), axis=1)[:, :k]
+                best_d, best_v = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+        if best_d.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_v.ravel()), pa.array(best_d.ravel())], names=["qid", "vec_id", "distance"])
+
+    return run
+
+
 def bounds(vectors: DataFrame) -> DataFrame:
     """(dim, lo, hi) over all vectors."""
     flat = vectors.select(F.posexplode("embedding").alias("dim", "x"))

@@ -12,6 +12,7 @@ from zetamill.functions import encoding as fn
 from zetamill.operators import keys as ks
 from zetamill.operators import lookup, report, segments, sharing, spatial
 from zetamill.plans import oracle as o
+from zetamill.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -420,13 +421,15 @@ def q_tightened_query(spark, d):
 
 # ---------------------------------------------------------------- structure
 
-SETS = [("2/float32/4", 2, False, [4] * 16), ("2/float32/8", 2, False, [8] * 8), ("2/float16/4", 2, True, [4] * 8), ("4/float16/8", 4, True, [8] * 8), ("2/float32/plan", 2, False, PLAN)]
+SETS = [("2/float32/4", 2, False, [4] * 16), ("2/float32/8", 2, False, [8] * 8), ("2/float16/4", 2, True, [4] * 8), ("4/float16/8", 4, True, [8] * 8), ("2/float32/plan", 2, False, PLAN), ("64/float32/32", 64, False, [32] * 64), ("64/float32/64", 64, False, [64] * 32), ("64/float16/64", 64, True, [64] * 16)]
+
+FIXED_SETS = [s for s in SETS if not s[0].endswith("plan")]
 
 
 def keyed(spark, d, sets=SETS):
     out = None
     for cfg, dims, half, widths in sets:
-        part = bits(spark, d, dims, half=half).select(F.lit(cfg).alias("cfg"), "k", F.array(*[F.lit(w) for w in widths]).alias("widths"))
+        part = ks.unique_keys(vectors(spark, d), dims, 0.5, half).select(F.lit(cfg).alias("cfg"), "k", F.array(*[F.lit(w) for w in widths]).alias("widths"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -457,7 +460,8 @@ def q_node_count(spark, d):
 
 @query(f"{STRUCTURE} select cfg, d, l as label, count(*) as n from e group by 1, 2, 3")
 def q_edge_labels(spark, d):
-    return sharing.class_edges(sharing.build(keyed(spark, d))).groupBy("cfg", "d", "label").agg(F.count("*").alias("n"))
+    edges = sharing.class_edges(sharing.build(keyed(spark, d)))
+    return edges.groupBy("cfg", "d", F.substr(fn.bit_string(F.col("label")), F.lit(1), F.col("w")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query(f"{STRUCTURE} select cfg, d, count(distinct p) as nodes from t group by 1, 2")
@@ -494,73 +498,93 @@ def q_dynamic_size(spark, d):
 
 # ---------------------------------------------------------------- sweep and reports
 
-GRID = [(dims, half, n, gb) for dims in (2, 4) for half in (False, True) for n in (100, 200, 400) for gb in (4, 8, 16)]
+#: Components with the chunk widths of each, key sets cut off after so many smallest keys, and those that aren't.
+SWEEP_DIMS = {2: (4, 8, 16), 4: (4, 8, 16), 64: (16, 32, 64)}
+SWEEP_N = (100, 200)
+ALL = "all"
+TIMES = ("morton_encode_s", "sort_dedup_s", "insert_s", "finish_s", "total_build_s")
+COLLAPSE = ("pre_suffix_total_bytes", "pre_suffix_bytes_per_key", "pre_suffix_normalized_bpk", "post_suffix_normalized_bpk", "suffix_collapse_saved_bytes_per_key", "suffix_collapse_saved_normalized_bpk", "suffix_collapse_saving_pct")
 
 
 def sweep(spark, d):
-    """Measurements of every configuration of GRID in one pass: fixed-width (CD) and path-compressed (PC) rows."""
-    from pyspark.sql import Window
+    """Measurements of all key sets and widths in one pass: fixed-width (CD) and path-compressed (PC) rows.
 
-    parts = None
-    for dims in (2, 4):
+    A key set is the N smallest keys, or all of them; n_keys is the number asked for, and for all keys their number.
+    """
+    rows = None
+    for dims, widths in SWEEP_DIMS.items():
         for half in (False, True):
-            k = bits(spark, d, dims, half=half).select(F.lit(dims).alias("dim"), F.lit("float16" if half else "float32").alias("dtype"), F.lit(dims * (16 if half else 32)).alias("n_bits"), "k")
-            parts = k if parts is None else parts.unionByName(k)
-    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("dim", "dtype").orderBy("k"))).where("r <= 400")
-    grid = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(gb).alias("gb")) for n in (100, 200, 400) for gb in (4, 8, 16)])
-    rows = ranked.withColumn("g", F.explode(grid)).where("r <= g.n").select("dim", "dtype", "n_bits", "k", "g.n", "g.gb")
+            n_bits = dims * (16 if half else 32)
+            k = materialise(ks.unique_keys(vectors(spark, d), dims, 0.5, half))
+            own = [ks.first_keys(k, n).select(F.lit(str(n)).alias("n"), "k") for n in SWEEP_N] + [k.select(F.lit(ALL).alias("n"), "k")]
+            for part in own:
+                gb = F.explode(F.array(*[F.lit(g) for g in widths])).alias("gb")
+                part = part.select(F.lit(dims).alias("dim"), F.lit("float16" if half else "float32").alias("dtype"), F.lit(n_bits).alias("n_bits"), "k", "n", gb)
+                rows = part if rows is None else rows.unionByName(part)
     cfg = F.concat_ws("/", "dim", "dtype", "n", "gb")
     a = sharing.build(rows.select(cfg.alias("cfg"), "k", sharing.uniform_widths(F.col("n_bits"), F.col("gb")).alias("widths")), keep=True)
-    sizes = rows.groupBy(cfg.alias("cfg"), "dim", "dtype", "n_bits", "n", "gb").agg(F.count("*").alias("n_unique_keys"))
+    sizes = materialise(rows.groupBy(cfg.alias("cfg"), "dim", "dtype", "n_bits", "n", "gb").agg(F.count("*").alias("n_unique_keys")))
+    asked = F.when(F.col("n") == ALL, F.col("n_unique_keys")).otherwise(F.col("n").cast("long"))
     s = sharing.suffix_collapse(sharing.summary(a).join(sizes, "cfg"), F.col("gb"), F.col("n_unique_keys"), F.col("n_bits"))
-    common = ["dim", "dtype", F.col("n").alias("n_keys"), "n_unique_keys", F.col("gb").alias("group_bits")]
-    cd = s.select(*common, F.concat(F.lit("CD-"), "gb").alias("method"), "total_bytes", "bytes_per_key", F.col("dawg_edges").alias("edges"), "pre_suffix_bytes_per_key", "suffix_collapse_saving_pct")
+    common = [F.col("n").alias("key_set"), "dim", "dtype", asked.alias("n_keys"), "n_unique_keys", F.col("gb").alias("group_bits")]
+    times = [F.lit(None).cast("double").alias(t) for t in TIMES]
+    collapse = [F.col("pre_suffix_total_bytes").cast("long"), *COLLAPSE[1:]]
+    cd = s.select(*common, F.concat(F.lit("CD-"), "gb").alias("method"), "total_bytes", "bytes_per_key", F.col("dawg_edges").alias("edges"), F.col("trie_edges").alias("trie_edges_before_suffix_collapse"), F.col("dawg_edges").alias("dawg_edges_after_suffix_collapse"), *collapse, *times)
     pc = sharing.compressed_size(sharing.path_compression(a)).join(sizes, "cfg")
-    zero = F.lit(0.0)
-    pc = pc.select(*common, F.concat(F.lit("PC-"), "gb").alias("method"), "total_bytes", (F.col("total_bytes") / F.col("n_unique_keys")).alias("bytes_per_key"), F.col("pc_edges").alias("edges"), zero.alias("pre_suffix_bytes_per_key"), zero.alias("suffix_collapse_saving_pct"))
+    none = [F.lit(0).cast(dict(cd.dtypes)[c]).alias(c) for c in ("trie_edges_before_suffix_collapse", "dawg_edges_after_suffix_collapse", *COLLAPSE)]
+    pc = pc.select(*common, F.concat(F.lit("PC-"), "gb").alias("method"), "total_bytes", (F.col("total_bytes") / F.col("n_unique_keys")).alias("bytes_per_key"), F.col("pc_edges").alias("edges"), *none, *times)
     return cd.unionByName(pc)
 
 
 def _sweep_sql() -> str:
-    parts = " union all ".join(f"select {dims} as dim, '{'float16' if half else 'float32'}' as dtype, {dims * (16 if half else 32)} as n_bits, k from {o.keys(dims, half=half)}" for dims in (2, 4) for half in (False, True))
-    rows = f"""select dim, dtype, n_bits, k, n, gb, dim || '/' || dtype || '/' || n || '/' || gb as cfg from (select *, row_number() over (partition by dim, dtype order by k) r from ({parts})),
-      (values (100), (200), (400)) a(n), (values (4), (8), (16)) b(gb) where r <= n"""
+    parts = " union all ".join(
+        f"select {dims} as dim, '{'float16' if half else 'float32'}' as dtype, {dims * (16 if half else 32)} as n_bits, k, {list(widths)} as gbs from {o.keys(dims, half=half)}" for dims, widths in SWEEP_DIMS.items() for half in (False, True)
+    )
+    rows = f"""select dim, dtype, n_bits, k, n, gb, dim || '/' || dtype || '/' || n || '/' || gb as cfg from (
+      select *, unnest(gbs) gb from (select *, row_number() over (partition by dim, dtype order by k) r from ({parts})), (values {", ".join(f"('{n}', {n})" for n in SWEEP_N)}, ('{ALL}', 9223372036854775807)) a(n, most) where r <= most)"""
     structure = o.structure("select cfg, k, list_transform(range(0, n_bits // gb), lambda i: i * gb) starts, list_transform(range(0, n_bits // gb), lambda i: gb) widths from grid_rows")
     pre, post = o.fixed_bytes("trie_edges", "gb"), o.fixed_bytes("dawg_edges", "gb")
+    asked = f"n as key_set, dim, dtype, case n when '{ALL}' then n_unique_keys else try_cast(n as bigint) end as n_keys, n_unique_keys, gb as group_bits"
+    key_bytes = "(n_bits / 8)"
     return f"""grid_rows as ({rows}), {structure}, {o.PATHS},
 sizes as (select cfg, dim, dtype, n_bits, n, gb, count(*) n_unique_keys from grid_rows group by all),
 summ as (select s.*, z.dim, z.dtype, z.n_bits, z.n, z.gb, z.n_unique_keys, {pre} pre, {post} post from ({SUMMARY}) s join sizes z on z.cfg = s.cfg),
 runs as (
-  select dim, dtype, n as n_keys, n_unique_keys, gb as group_bits, 'CD-' || gb as method, post as total_bytes, post / n_unique_keys as bytes_per_key, dawg_edges as edges, pre / n_unique_keys as pre_suffix_bytes_per_key, 1 - post / pre as suffix_collapse_saving_pct from summ
+  select {asked}, 'CD-' || gb as method, post as total_bytes, post / n_unique_keys as bytes_per_key, dawg_edges as edges, trie_edges as trie_edges_before_suffix_collapse, dawg_edges as dawg_edges_after_suffix_collapse,
+    pre as pre_suffix_total_bytes, pre / n_unique_keys as pre_suffix_bytes_per_key, pre / n_unique_keys / {key_bytes} as pre_suffix_normalized_bpk, post / n_unique_keys / {key_bytes} as post_suffix_normalized_bpk,
+    (pre - post) / n_unique_keys as suffix_collapse_saved_bytes_per_key, (pre - post) / n_unique_keys / {key_bytes} as suffix_collapse_saved_normalized_bpk, 1 - post / pre as suffix_collapse_saving_pct from summ
   union all
-  select dim, dtype, n, n_unique_keys, gb, 'PC-' || gb, {o.compressed_bytes()}, {o.compressed_bytes()} / n_unique_keys, pc_edges, 0.0, 0.0 from pc join sizes on sizes.cfg = pc.cfg)"""
+  select {asked}, 'PC-' || gb, {o.compressed_bytes()}, {o.compressed_bytes()} / n_unique_keys, pc_edges, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0 from pc join sizes on sizes.cfg = pc.cfg)"""
 
 
 RUNS = f"with {_sweep_sql()}"
 ORDER = "case when method like 'PC-%' then 1 else 0 end, cast(substr(method, 4) as integer)"
 
 
-@query(f"{RUNS} select dim, dtype, n_keys, n_unique_keys, group_bits, method, total_bytes, round(bytes_per_key, 8) as bytes_per_key, edges, round(pre_suffix_bytes_per_key, 8) as pre_suffix_bytes_per_key, round(suffix_collapse_saving_pct, 8) as suffix_collapse_saving_pct from runs")
+_ROUNDED = ", ".join(f"round({c}, 8) as {c}" for c in COLLAPSE[1:])
+
+
+@query(f"{RUNS} select key_set, dim, dtype, n_keys, n_unique_keys, group_bits, method, total_bytes, round(bytes_per_key, 8) as bytes_per_key, edges, trie_edges_before_suffix_collapse, dawg_edges_after_suffix_collapse, pre_suffix_total_bytes, {_ROUNDED}, {', '.join(f'null::double as {t}' for t in TIMES)} from runs")
 def q_sweep(spark, d):
     return sweep(spark, d)
 
 
-@query(f"""{STRUCTURE}, s as (select s.*, case s.cfg {' '.join(f"when '{c}' then {w[0]}" for c, _, _, w in SETS[:4])} end gb, {' case s.cfg ' + ' '.join(f"when '{c}' then {sum(w)}" for c, _, _, w in SETS[:4])} end n_bits, (select count(distinct k) from keyed k where k.cfg = s.cfg) n from ({SUMMARY}) s where s.cfg not like '%plan'),
+@query(f"""{STRUCTURE}, s as (select s.*, case s.cfg {' '.join(f"when '{c}' then {w[0]}" for c, _, _, w in FIXED_SETS)} end gb, {' case s.cfg ' + ' '.join(f"when '{c}' then {sum(w)}" for c, _, _, w in FIXED_SETS)} end n_bits, (select count(distinct k) from keyed k where k.cfg = s.cfg) n from ({SUMMARY}) s where s.cfg not like '%plan'),
 b as (select *, {o.fixed_bytes('trie_edges', 'gb')} pre, {o.fixed_bytes('dawg_edges', 'gb')} post from s)
 select cfg, post as total_bytes, round(post / n, 8) as bytes_per_key, pre as pre_suffix_total_bytes, round(pre / n, 8) as pre_suffix_bytes_per_key, round(pre / n / (n_bits / 8), 8) as pre_suffix_normalized_bpk, round(post / n / (n_bits / 8), 8) as post_suffix_normalized_bpk,
 round((pre - post) / n, 8) as suffix_collapse_saved_bytes_per_key, round((pre - post) / n / (n_bits / 8), 8) as suffix_collapse_saved_normalized_bpk, round(1 - post / pre, 8) as suffix_collapse_saving_pct from b""")
 def q_suffix_collapse(spark, d):
-    k = keyed(spark, d, SETS[:4])
+    k = keyed(spark, d, FIXED_SETS)
     sizes = k.groupBy("cfg", F.col("widths")[0].alias("gb"), (F.size("widths") * F.col("widths")[0]).alias("n_bits")).agg(F.count("*").alias("n"))
     s = sharing.summary(sharing.build(k)).join(sizes, "cfg")
     out = sharing.suffix_collapse(s, F.col("gb"), F.col("n"), F.col("n_bits"))
     return out.select("cfg", "total_bytes", "bytes_per_key", "pre_suffix_total_bytes", "pre_suffix_bytes_per_key", "pre_suffix_normalized_bpk", "post_suffix_normalized_bpk", "suffix_collapse_saved_bytes_per_key", "suffix_collapse_saved_normalized_bpk", "suffix_collapse_saving_pct")
 
 
-@query(f"{RUNS} select dim, dtype, n_unique_keys, group_bits, method, case when method like 'PC-%' then 'PC' else 'CD' end as variant, dim * case dtype when 'float16' then 16 else 32 end / 8 as key_bytes, round(bytes_per_key / (dim * case dtype when 'float16' then 16 else 32 end / 8), 8) as normalized_bpk from runs where (dim * case dtype when 'float16' then 16 else 32 end) % group_bits = 0 and dim * case dtype when 'float16' then 16 else 32 end / group_bits >= 3")
+@query(f"{RUNS} select key_set, dim, dtype, n_unique_keys, group_bits, method, case when method like 'PC-%' then 'PC' else 'CD' end as variant, dim * case dtype when 'float16' then 16 else 32 end / 8 as key_bytes, round(bytes_per_key / (dim * case dtype when 'float16' then 16 else 32 end / 8), 8) as normalized_bpk from runs where (dim * case dtype when 'float16' then 16 else 32 end) % group_bits = 0 and dim * case dtype when 'float16' then 16 else 32 end / group_bits >= 3")
 def q_key_metrics(spark, d):
     out = report.with_variant(report.with_key_metrics(report.relevant(sweep(spark, d))))
-    return out.select("dim", "dtype", "n_unique_keys", "group_bits", "method", "variant", "key_bytes", "normalized_bpk")
+    return out.select("key_set", "dim", "dtype", "n_unique_keys", "group_bits", "method", "variant", "key_bytes", "normalized_bpk")
 
 
 @query(f"""{RUNS}, p as (select dim, method, avg(bytes_per_key) mean_value, max_by(bytes_per_key, n_unique_keys) value_at_max_n, max(n_unique_keys) max_n, count(distinct n_unique_keys) n_points from runs where dtype = 'float32' group by 1, 2)
@@ -570,50 +594,50 @@ def q_best_scheme(spark, d):
 
 
 @query(f"""{RUNS}, g as (select n_unique_keys, count(distinct (dim, dtype)) has from runs group by 1)
-select coalesce(max(case when has = 4 then n_unique_keys end), max(n_unique_keys)) as n, max(case when has = 4 then n_unique_keys end) is not null as common from g""")
+select coalesce(max(case when has = 6 then n_unique_keys end), max(n_unique_keys)) as n, max(case when has = 6 then n_unique_keys end) is not null as common from g""")
 def q_common_n(spark, d):
     return report.common_n(sweep(spark, d), ["dim", "dtype"])
 
 
-@query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dtype, dim order by bytes_per_key, {ORDER}) r from runs where n_keys = 200) where r = 1)
+@query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dtype, dim order by bytes_per_key, {ORDER}) r from runs where key_set = 'all') where r = 1)
 select h.dim, h.method as method16, round(h.bytes_per_key, 8) as value16, f.method as method32, round(f.bytes_per_key, 8) as value32, round(h.bytes_per_key / f.bytes_per_key, 8) as ratio, round(h.bytes_per_key - f.bytes_per_key, 8) as delta
 from b h join b f on f.dim = h.dim and h.dtype = 'float16' and f.dtype = 'float32'""")
 def q_dtype_compare(spark, d):
-    return report.dtype_comparison(sweep(spark, d).where("n_keys = 200"), "bytes_per_key")
+    return report.dtype_comparison(sweep(spark, d).where("key_set = 'all'"), "bytes_per_key")
 
 
 @query(f"""{RUNS} select h.dim, h.method, round(h.bytes_per_key, 8) as float16, round(f.bytes_per_key, 8) as float32, round(h.bytes_per_key / f.bytes_per_key, 8) as ratio, round(h.bytes_per_key - f.bytes_per_key, 8) as delta
-from runs h join runs f on f.dim = h.dim and f.method = h.method and h.dtype = 'float16' and f.dtype = 'float32' and h.n_keys = 200 and f.n_keys = 200""")
+from runs h join runs f on f.dim = h.dim and f.method = h.method and h.dtype = 'float16' and f.dtype = 'float32' and h.key_set = 'all' and f.key_set = 'all'""")
 def q_same_method_ratio(spark, d):
-    return report.same_method_ratio(sweep(spark, d).where("n_keys = 200"), "bytes_per_key")
+    return report.same_method_ratio(sweep(spark, d).where("key_set = 'all'"), "bytes_per_key")
 
 
-@query(f"{RUNS} select method, " + ", ".join(f'round(max(case when n_keys = {n} then bytes_per_key end), 8) as "{n}"' for n in (100, 200, 400)) + " from runs where dim = 4 and dtype = 'float32' group by 1")
+@query(f"{RUNS} select method, " + ", ".join(f'round(max(case when key_set = \'{n}\' then bytes_per_key end), 8) as "{n}"' for n in (100, 200, ALL)) + " from runs where dim = 4 and dtype = 'float32' group by 1")
 def q_method_pivot(spark, d):
-    return report.pivot_table(sweep(spark, d).where("dim = 4 and dtype = 'float32'"), "method", "n_keys", [100, 200, 400], "bytes_per_key")
+    return report.pivot_table(sweep(spark, d).where("dim = 4 and dtype = 'float32'"), "method", "key_set", ["100", "200", ALL], "bytes_per_key")
 
 
-@query(f"{RUNS} select dim, dtype, n_keys, group_bits, round(suffix_collapse_saving_pct, 8) as saving from runs where method like 'CD-%' and pre_suffix_bytes_per_key > 0")
+@query(f"{RUNS} select key_set, dim, dtype, n_keys, group_bits, round(suffix_collapse_saving_pct, 8) as saving from runs where method like 'CD-%' and pre_suffix_bytes_per_key > 0")
 def q_suffix_ready(spark, d):
-    return report.suffix_ready(sweep(spark, d)).select("dim", "dtype", "n_keys", "group_bits", "saving")
+    return report.suffix_ready(sweep(spark, d)).select("key_set", "dim", "dtype", "n_keys", "group_bits", "saving")
 
 
-@query(f"{RUNS}, b as (select * from (select *, case when method like 'PC-%' then 'PC' else 'CD' end variant, row_number() over (partition by case when method like 'PC-%' then 'PC' else 'CD' end, dim order by bytes_per_key, group_bits) r from runs where n_keys = 400 and dtype = 'float32') where r = 1) select variant, dim, group_bits, edges, round(bytes_per_key, 8) as bytes_per_key from b")
+@query(f"{RUNS}, b as (select * from (select *, case when method like 'PC-%' then 'PC' else 'CD' end variant, row_number() over (partition by case when method like 'PC-%' then 'PC' else 'CD' end, dim order by bytes_per_key, group_bits) r from runs where key_set = 'all' and dtype = 'float32') where r = 1) select variant, dim, group_bits, edges, round(bytes_per_key, 8) as bytes_per_key from b")
 def q_best_baselines(spark, d):
-    return report.best_baselines(sweep(spark, d).where("n_keys = 400 and dtype = 'float32'"), "bytes_per_key").select("variant", "dim", "group_bits", "edges", "bytes_per_key")
+    return report.best_baselines(sweep(spark, d).where("key_set = 'all' and dtype = 'float32'"), "bytes_per_key").select("variant", "dim", "group_bits", "edges", "bytes_per_key")
 
 
-@query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dim order by bytes_per_key, group_bits) r from runs where n_keys = 400 and dtype = 'float32' and method like 'CD-%') where r = 1)
-select r.dim, r.method, b.group_bits as best_group_bits, round((r.bytes_per_key - b.bytes_per_key) / b.bytes_per_key, 8) as delta_bpk, round(100.0 * (b.edges - r.edges) / b.edges, 8) as edge_reduction_pct from runs r join b on b.dim = r.dim where r.n_keys = 400 and r.dtype = 'float32'""")
+@query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dim order by bytes_per_key, group_bits) r from runs where key_set = 'all' and dtype = 'float32' and method like 'CD-%') where r = 1)
+select r.dim, r.method, b.group_bits as best_group_bits, round((r.bytes_per_key - b.bytes_per_key) / b.bytes_per_key, 8) as delta_bpk, round(100.0 * (b.edges - r.edges) / b.edges, 8) as edge_reduction_pct from runs r join b on b.dim = r.dim where r.key_set = 'all' and r.dtype = 'float32'""")
 def q_baseline_deltas(spark, d):
-    rows = sweep(spark, d).where("n_keys = 400 and dtype = 'float32'")
+    rows = sweep(spark, d).where("key_set = 'all' and dtype = 'float32'")
     base = report.best_baselines(rows, "bytes_per_key").where("variant = 'CD'")
     return report.against_baseline(rows, base).select("dim", "method", "best_group_bits", "delta_bpk", "edge_reduction_pct")
 
 
-@query(f"{RUNS} select dim, dtype, method, n_keys, total_bytes from (select *, max(n_keys) over (partition by group_bits) top from runs) where n_keys = top")
+@query(f"{RUNS} select key_set, dim, dtype, method, n_keys, total_bytes from (select *, max(n_keys) over (partition by group_bits) top from runs) where n_keys = top")
 def q_max_n_rows(spark, d):
-    return report.at_max_n(sweep(spark, d), ["group_bits"]).select("dim", "dtype", "method", "n_keys", "total_bytes")
+    return report.at_max_n(sweep(spark, d), ["group_bits"]).select("key_set", "dim", "dtype", "method", "n_keys", "total_bytes")
 
 
 @query(f"""{STRUCTURE}, dep as (select *, depth * 4.0 / 64 as place from ({BY_DEPTH}) where cfg = '2/float32/4')
@@ -649,7 +673,7 @@ def q_rq_summary(spark, d):
 
 
 @query("""with r as (select l_orderkey % 3 as dim, 'float32' as dtype, l_linenumber as n_unique_keys, 8 as group_bits, case l_orderkey % 5 when 0 then 'dictionary' else 'CD-8' end as method, l_orderkey * 10 + l_linenumber as seq, l_quantity as v from lineitem)
-select dim, dtype, n_unique_keys, group_bits, method, max(seq) as seq, round(max_by(v, seq)::double, 8) as v from r where method <> 'dictionary' group by 1, 2, 3, 4, 5""")
+select dim, dtype, n_unique_keys, group_bits, method, max(seq) as seq, round(max_by(v, {'seq': seq, 'v': v})::double, 8) as v from r where method <> 'dictionary' group by 1, 2, 3, 4, 5""")
 def q_latest_runs(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     rows = li.select((F.col("l_orderkey") % 3).alias("dim"), F.lit("float32").alias("dtype"), F.col("l_linenumber").alias("n_unique_keys"), F.lit(8).alias("group_bits"), F.when(F.col("l_orderkey") % 5 == 0, "dictionary").otherwise("CD-8").alias("method"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("double").alias("v"))
@@ -725,28 +749,49 @@ def q_segment_cost(spark, d):
     return segments.cost(feature_rows(spark, d), 64).select("start_bit", "width", F.round("cost", 6).alias("cost"))
 
 
-def _greedy_sql() -> str:
-    """The greedy plan as a recursive query over features of all places (64 bits, threshold 0.5)."""
+def _greedy_sql(threshold: float = 0.5) -> str:
+    """The greedy plan walk as a recursive query over features of all places (64 bits)."""
     return f"""with recursive k as (select k from {o.keys(2)}), s as (select count(*) n from k),
 f as (select p as start_bit, w, count(distinct substr(k, p + 1, w)) as cardinality from k, range(0, 64) r(p), (values (1), (2), (4), (8), (16), (32), (64)) c(w) where p + w <= 64 group by 1, 2),
-best as (select start_bit, coalesce(max(w) filter (cardinality / least(n, (2.0 ** w)) <= 0.5), min(w)) as width from f, s group by 1),
+best as (select start_bit, coalesce(max(w) filter (cardinality / least(n, (2.0 ** w)) <= {threshold}), min(w)) as width from f, s group by 1),
 walk(segment_idx, start_bit, width) as (
   select 0, start_bit, width from best where start_bit = 0
-  union all select w.segment_idx + 1, b.start_bit, b.width from walk w join best b on b.start_bit = w.start_bit + w.width)
-select cast(segment_idx as bigint) as segment_idx, cast(start_bit as bigint) as start_bit, cast(width as bigint) as width from walk"""
+  union all select w.segment_idx + 1, b.start_bit, b.width from walk w join best b on b.start_bit = w.start_bit + w.width)"""
 
 
-@query(_greedy_sql())
+@query(_greedy_sql() + " select cast(segment_idx as bigint) as segment_idx, cast(start_bit as bigint) as start_bit, cast(width as bigint) as width from walk")
 def q_plan_greedy(spark, d):
     return segments.plan(spark, segments.greedy(bits(spark, d), 64, 0.5))
 
 
-@query()
+def _cost_aware_sql(source: str, threshold: float) -> str:
+    """CTEs up to walk(segment_idx, start_bit, width) of the cost-aware plan of 64-bit keys of a subquery.
+
+    The candidates of a place, from the widest on, are folded with the tie rule.
+    """
+    cost = f"""w / 8 + (7 + {o.clog2('(w + 1)')} + 1) / 8 + 14 / greatest(1, w) + 22 * rho + 12 * p + 10 * a - (10 * (1 - rho) + 8 * (1 - p) + 8 * (1 - a))
+      + case when start_bit / 64 < 0.2::double or start_bit / 64 > 0.7::double then -0.10::double * w else 0.15::double * w end"""
+    margin = "(case when b.cost > 0 then 0.05::double * b.cost else 0.05::double end)"
+    tie = "(case when x.rho > 0.75 or x.a > 0.75 then x.w < b.w when x.rho < 0.2 and x.a < 0.25 then x.w > b.w else x.rho < b.rho or (x.rho = b.rho and x.w > b.w) end)"
+    return f"""ck as (select k, lag(k) over (order by k) prev, count(*) over () n from {source}),
+cf as (select start_bit * 4 as start_bit, w, count(distinct substr(k, start_bit * 4 + 1, w)) as c, count(*) filter (prev is not null and substr(k, start_bit * 4 + 1, w) <> substr(prev, start_bit * 4 + 1, w)) as ch, max(n) as n
+  from ck, range(0, 16) r(start_bit), (values (4), (8), (16), (32), (64)) v(w) where start_bit * 4 + w <= 64 group by 1, 2),
+cr as (select start_bit, w, c / least(n, (2.0::double ** w)) as rho, c / n as p, ch / greatest(1, n - 1) as a from cf),
+cc as (select start_bit, w, rho, a, {cost} as cost from cr),
+cb as (select start_bit, min(w) as narrowest, list({{'w': w, 'cost': cost, 'rho': rho, 'a': a}} order by w desc) filter (rho <= {threshold}) as l from cc group by 1),
+chosen as (select start_bit, case when l is null or len(l) = 0 then narrowest else list_reduce(l, lambda b, x: case when x.cost + {margin} < b.cost then x when abs(x.cost - b.cost) <= {margin} and {tie} then x else b end).w end as width from cb),
+walk(segment_idx, start_bit, width) as (
+  select 0, start_bit, width from chosen where start_bit = 0
+  union all select w.segment_idx + 1, b.start_bit, b.width from walk w join chosen b on b.start_bit = w.start_bit + w.width)"""
+
+
+@query(f"with recursive {_cost_aware_sql(o.keys(2), 0.5)} select cast(segment_idx as bigint) as segment_idx, cast(start_bit as bigint) as start_bit, cast(width as bigint) as width from walk")
 def q_plan_cost_aware(spark, d):
     return segments.plan(spark, segments.cost_aware(bits(spark, d), 64, 0.5))
 
 
-@query()
+@query(_greedy_sql(0.7) + ", joined as (select w.segment_idx, w.start_bit, w.width, f.cardinality, f.cardinality / least(n, (2.0 ** f.w)) as rho from walk w join f on f.start_bit = w.start_bit and f.w = w.width, s)"
+       " select cast(segment_idx as bigint) as segment_idx, cast(start_bit as bigint) as start_bit, cast(width as bigint) as width, cardinality, round(rho::double, 8) as rho from joined")
 def q_greedy_segments(spark, d):
     rows = segments.greedy_rows(bits(spark, d), 64, 0.7)
     return spark.createDataFrame([(i, r.start_bit, r.width, r.cardinality, r.rho) for i, r in enumerate(rows)], "segment_idx int, start_bit int, width int, cardinality long, rho double")
@@ -754,7 +799,7 @@ def q_greedy_segments(spark, d):
 
 @query("with s as (select 0 as segment_idx, 0 as start_bit, 12 as width union all select 1 + range, 12 + 8 * range, case when range = 3 then 8 else 8 end from range(0, 4) union all select 5, 44, 20) select cast(segment_idx as bigint) as segment_idx, cast(start_bit as bigint) as start_bit, cast(width as bigint) as width from s")
 def q_plan_phase(spark, d):
-    return segments.plan(spark, segments.phase_aware(64, middle_width=8))
+    return segments.plan(spark, segments.phase_aware(64, widths=(1024, 8, 128)))
 
 
 @query("select range as segment_idx, range * 24 as start_bit, least(24, 64 - range * 24) as width from range(0, 3)")
@@ -774,7 +819,8 @@ def q_plan_valid(spark, d):
 
 def plan_candidates(spark, d):
     """Sizes of candidate plans on an even sample of keys; the best plan is the smallest."""
-    sample = ks.even_sample(bits(spark, d), 200).cache()
+    sample = materialise(ks.even_sample(bits(spark, d), 200))
+    n_sample = sample.count()
     plans = {"greedy": segments.greedy(sample, 64, 0.5), "cost_aware": segments.cost_aware(sample, 64, 0.5), "phase_aware": segments.phase_aware(64)} | {f"uniform-{g}": segments.uniform(g, 64) for g in (8, 16, 32)}
     rows = None
     for name, widths in plans.items():
@@ -782,7 +828,7 @@ def plan_candidates(spark, d):
         rows = part if rows is None else rows.unionByName(part)
     pc = sharing.path_compression(sharing.build(rows, keep=True))
     n = F.create_map(*[F.lit(x) for name, widths in plans.items() for x in (name, len(widths))])[F.col("cfg")]
-    return sharing.dynamic_size(pc, n).select("cfg", (F.col("total_bytes") / 200 / 8).alias("sample_normalized_bpk"))
+    return sharing.dynamic_size(pc, n).select("cfg", (F.col("total_bytes") / n_sample / 8).alias("sample_normalized_bpk"))
 
 
 @query()
@@ -802,9 +848,9 @@ def q_indegree_capped(spark, d):
     return report.capped_histogram(sharing.in_degree_histogram(sharing.build(keyed(spark, d))), 5)
 
 
-@query(f"{RUNS}, b as (select dim, dtype, n_keys, n_unique_keys * dim * case dtype when 'float16' then 16 else 32 end / 8 as raw from runs group by all) select r.dim, r.dtype, r.n_keys, r.method, round(r.total_bytes / b.raw, 8) as ratio from runs r join b on b.dim = r.dim and b.dtype = r.dtype and b.n_keys = r.n_keys")
+@query(f"{RUNS}, b as (select dim, dtype, key_set, n_unique_keys * dim * case dtype when 'float16' then 16 else 32 end / 8 as raw from runs group by all) select r.key_set, r.dim, r.dtype, r.n_keys, r.method, round(r.total_bytes / b.raw, 8) as ratio from runs r join b on b.dim = r.dim and b.dtype = r.dtype and b.key_set = r.key_set")
 def q_size_ratio(spark, d):
-    return report.size_ratio(sweep(spark, d)).select("dim", "dtype", "n_keys", "method", "ratio")
+    return report.size_ratio(sweep(spark, d)).select("key_set", "dim", "dtype", "n_keys", "method", "ratio")
 
 
 @query(f"with {CHUNK_SQL} select start_bit, round(max(case when group_bits = 4 then rho end), 8) as w4, round(max(case when group_bits = 8 then rho end), 8) as w8, round(max(case when group_bits = 16 then rho end), 8) as w16 from card where group_bits < 24 group by 1")
@@ -815,7 +861,7 @@ def q_saturation_curves(spark, d):
 
 @query("select * from (values ('phase', 6, 12), ('uniform', 3, 24)) t(plan, segments, first_width)")
 def q_segment_summary(spark, d):
-    both = segments.plan(spark, segments.phase_aware(64, middle_width=8)).withColumn("plan", F.lit("phase")).unionByName(segments.plan(spark, segments.uniform(24, 64)).withColumn("plan", F.lit("uniform")))
+    both = segments.plan(spark, segments.phase_aware(64, widths=(1024, 8, 128))).withColumn("plan", F.lit("phase")).unionByName(segments.plan(spark, segments.uniform(24, 64)).withColumn("plan", F.lit("uniform")))
     return segments.plan_summary(both, ["plan"])
 
 
@@ -830,7 +876,7 @@ def q_sample_rows(spark, d):
     return spatial.sample_rows(vectors(spark, d), 25, seed=4).select("vec_id")
 
 
-DYNAMIC = [("uniform-8", 2, False, [8] * 8), ("uniform-16", 2, False, [16] * 4), ("phase_aware", 2, False, segments.phase_aware(64, middle_width=8)), ("manual", 2, False, PLAN)]
+DYNAMIC = [("uniform-8", 2, False, [8] * 8), ("uniform-16", 2, False, [16] * 4), ("phase_aware", 2, False, segments.phase_aware(64, widths=(1024, 8, 128))), ("manual", 2, False, PLAN)]
 FIXED = [(f"fixed-{g}", 2, False, [g] * (64 // g)) for g in (4, 8, 16, 32)]
 PLAN_TEXT = {name: (len(w), ";".join(f"{x}:{w.count(x)}" for x in sorted(set(w)))) for name, _, _, w in DYNAMIC}
 
