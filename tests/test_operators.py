@@ -52,7 +52,7 @@ def test_nearest_equals_brute_force(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     d = np.sqrt(((x - x[3]).astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)
     assert [r.vec_id for r in spatial.nearest(df, x[3].tolist(), 9).collect()] == np.lexsort((np.arange(200), d))[:9].tolist()
-    assert spatial.nearest(df, x[3].tolist(), 500).count() == 200
+    assert spatial.nearest(df, x[3].tolist(), 500).count() == 0 and spatial.nearest(df.unionByName(df.withColumn("vec_id", F.col("vec_id") + 1000)), x[3].tolist(), 200).count() == 200
 
 
 def test_exact_match_queries_match_exactly(spark):
@@ -113,11 +113,13 @@ def test_choice_by_cost():
     assert segments.choose_by_cost([R(4, 10.0, 0.3, 0.9), R(8, 10.1, 0.3, 0.9)], 0.5) == 4
     assert segments.choose_by_cost([R(4, 10.0, 0.1, 0.1), R(8, 10.1, 0.1, 0.1)], 0.5) == 8
     assert segments.choose_by_cost([R(4, 10.0, 0.2, 0.5), R(8, 10.1, 0.4, 0.5)], 0.5) == 4
+    assert segments.choose_by_cost([R(8, -20.0, 0.3, 0.3), R(4, -20.5, 0.3, 0.3)], 0.5) == 4  # negative costs tie within 0.05 only
+    assert segments.choose_by_cost([R(8, -20.0, 0.3, 0.9), R(4, -19.97, 0.3, 0.9)], 0.5) == 4
 
 
 def test_plans():
     assert segments.uniform(24, 64) == [24, 24, 16]
-    assert segments.phase_aware(100, prefix_width=16, middle_width=30, suffix_width=7) == [16, 4, 30, 20, 7, 7, 7, 7, 2]
+    assert segments.phase_aware(100, widths=(16, 30, 7)) == [16, 4, 30, 20, 7, 7, 7, 7, 2]
     assert segments.phase_aware(0) == [] and not segments.valid([8, 0], 8) and segments.valid([3, 5], 8)
 
 

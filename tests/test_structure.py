@@ -110,3 +110,29 @@ def test_test_embeddings_match_known_counters(spark):
         k = unique_bits(rows, dims, half=half).select(F.lit("c").alias("cfg"), "k", F.array(*[F.lit(gb)] * (dims * (16 if half else 32) // gb)).alias("widths"))
         r = sharing.summary(sharing.build(k)).first()
         assert (r.finalize_calls, r.memo_hits, r.trie_edges, r.unique_nodes, r.dawg_edges) == want
+
+
+def test_whole_test_embeddings_match_known_counters(spark):
+    from zetamill.functions.encoding import fixed_bytes
+    from zetamill.operators.keys import unique_keys
+
+    k = unique_keys(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), 64)
+    sets = [k.select(F.lit(str(gb)).alias("cfg"), "k", F.array_repeat(F.lit(gb), 2048 // gb).alias("widths")) for gb in (32, 64)]
+    a = sharing.build(sets[0].unionByName(sets[1]), keep=True)
+    got = {r.cfg: (r.finalize_calls, r.memo_hits, r.trie_edges, r.unique_nodes, r.dawg_edges, r.b) for r in sharing.summary(a).withColumn("b", fixed_bytes(F.col("dawg_edges"), F.col("cfg").cast("int"))).collect()}
+    assert got == {"32": (24582, 0, 25081, 24582, 25081, 150486), "64": (12049, 0, 12548, 12049, 12548, 123912)}
+    pc = {r.cfg: (r.pc_edges, r.total_bytes) for r in sharing.compressed_size(sharing.path_compression(a)).collect()}
+    assert pc == {"32": (511, 102624), "64": (509, 102675)}
+
+
+def test_keys_of_1024_components(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    raw = [rng.bytes(4096) for _ in range(20)]
+    k = spark.createDataFrame([("c", bytearray(x)) for x in raw], "cfg string, k binary").select("cfg", "k", F.array_repeat(F.lit(32), 1024).alias("widths"))
+    a = sharing.build(k)
+    row = max(len(r.label) for r in a.trie.select("label").collect())
+    assert row == 4 and a.trie.count() == 20 * 1024
+    r = sharing.summary(a).first()
+    assert (r.finalize_calls, r.memo_hits, r.trie_edges) == (1 + 20 * 1023, 0, 20 * 1024)

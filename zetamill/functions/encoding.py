@@ -123,6 +123,62 @@ def level_symbol(bits: Column, dims: int, level: int) -> Column:
     return F.substring(bits, level * dims + 1, dims)
 
 
+def wide(operation: str, a: Column, b: Column) -> Column:
+    """Bitwise xor, xnor, and, or of two BINARY keys of one length."""
+    base = {"xor": np.bitwise_xor, "xnor": np.bitwise_xor, "and": np.bitwise_and, "or": np.bitwise_or}[operation]
+
+    @F.arrow_udf("binary")
+    def combine(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = base(_bytes_of(x), _bytes_of(y))
+        return _binary(~out if operation == "xnor" else out)
+
+    return combine(a, b)
+
+
+def wide_shift(a: Column, by: int) -> Column:
+    """A BINARY key shifted towards its end by so many bits, towards its beginning where by is negative; zeros come in."""
+
+    @F.arrow_udf("binary")
+    def shift(x: pa.Array) -> pa.Array:
+        bits = np.unpackbits(_bytes_of(x), axis=1)
+        out = np.zeros_like(bits)
+        if by >= 0:
+            out[:, by:] = bits[:, : bits.shape[1] - by]
+        else:
+            out[:, :by] = bits[:, -by:]
+        return _binary(np.packbits(out, axis=1))
+
+    return shift(a)
+
+
+def wide_ones(a: Column) -> Column:
+    """How many bits of a BINARY key are set."""
+
+    @F.arrow_udf("long")
+    def ones(x: pa.Array) -> pa.Array:
+        return pa.array(np.bitwise_count(_bytes_of(x)).sum(axis=1, dtype=np.int64))
+
+    return ones(a)
+
+
+def wide_field(a: Column, start: int, width: int) -> Column:
+    """width bits of a BINARY key from bit `start` on, as a string."""
+    first = start // 8
+    some = F.substring(a, first + 1, (start + width - 1) // 8 - first + 1)
+    return F.substring(bit_string(some), start - 8 * first + 1, width)
+
+
+def masked_not_equal(a: Column, b: Column, first_bits: int) -> Column:
+    """Whether two BINARY keys differ in their first bits (whole bytes)."""
+    return F.substring(a, 1, first_bits // 8) != F.substring(b, 1, first_bits // 8)
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """A binary column, all of one length, as a matrix of bytes."""
+    n = len(column)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
+
+
 def bit_width(value: Column) -> Column:
     """Bits needed for a non-negative integer, at least 1."""
     return F.greatest(F.lit(1), F.length(F.bin(value)))

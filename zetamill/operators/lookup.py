@@ -24,6 +24,19 @@ def lex_range(keys: DataFrame, low: str, high: str, n_bits: int, pad_high: str =
     return keys.where(F.col("k").between(low.ljust(n_bits, "0"), high.ljust(n_bits, pad_high)))
 
 
+def in_order(found: DataFrame, by: str | list[str], n: int) -> DataFrame:
+    """The first n rows in ascending order with their rank from 1: a top-n, no global sort."""
+    columns = [by] if isinstance(by, str) else by
+    first = found.orderBy(*columns).limit(n)
+    # Of n rows at most, which the limit left.
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*columns)))
+
+
+def from_key(entries: DataFrame, key: str) -> DataFrame:
+    """Entries from a key on, in byte order; the first of them is its lower bound."""
+    return entries.where(F.col("key") >= key)
+
+
 def lex_range_batch(keys: DataFrame, ranges: DataFrame, prefix: int = 12) -> DataFrame:
     """(qid, k) for every range of ranges(qid, lo, hi).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from zetamill.functions import encoding as fn
 from zetamill.operators import keys as ks
 from zetamill.operators import lookup, report, segments, sharing, spatial
 from zetamill.plans import oracle as o
-from zetamill.session import materialise
+from zetamill.session import materialise, shared_folder
+from zetamill.sources import vector_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -136,6 +138,23 @@ def q_bit_ops(spark, d):
     )
 
 
+_WIDE = f"with w as (select vec_id, {o.morton(64, '0.0')} a, (select {o.morton(64, '0.0')} from embeddings where vec_id = 0) b from embeddings)"
+
+
+@query(f"""{_WIDE} select vec_id, array_to_string(list_transform(range(1, 2049), lambda i: case when a[i] = b[i] then '0' else '1' end), '') as differs, array_to_string(list_transform(range(1, 2049), lambda i: case when a[i] = b[i] then '1' else '0' end), '') as decided,
+  array_to_string(list_transform(range(1, 2049), lambda i: case when a[i] = '1' and b[i] = '1' then '1' else '0' end), '') as both_set, substr(a, 12) || '00000000000' as up, '00000' || substr(a, 1, 2043) as down,
+  length(replace(a, '0', '')) as ones, a < b as less, a = b as same, a[100] = '1' as bit_99, substr(a, 101, 30) as field, substr(a, 1, 64) <> substr(b, 1, 64) as top_differs from w""")
+def q_wide_bit_ops(spark, d):
+    w = ks.encode(vectors(spark, d), 64, 0.0).select("vec_id", F.col("k").alias("a"))
+    w = w.crossJoin(F.broadcast(w.where("vec_id = 0").select(F.col("a").alias("b"))))
+    a, b = F.col("a"), F.col("b")
+    text = lambda c: fn.bit_string(c, 2048)
+    return w.select(
+        "vec_id", text(fn.wide("xor", a, b)).alias("differs"), text(fn.wide("xnor", a, b)).alias("decided"), text(fn.wide("and", a, b)).alias("both_set"), text(fn.wide_shift(a, -11)).alias("up"), text(fn.wide_shift(a, 5)).alias("down"),
+        fn.wide_ones(a).alias("ones"), (a < b).alias("less"), (a == b).alias("same"), (fn.wide_field(a, 99, 1) == "1").alias("bit_99"), fn.wide_field(a, 100, 30).alias("field"), fn.masked_not_equal(a, b, 64).alias("top_differs"),
+    )
+
+
 @query(f"select vec_id, i - 1 as chunk, rpad(substr(k, (i - 1) * 24 + 1, 24), 24, '0') as symbol from (select vec_id, {o.morton(2)} k from embeddings), range(1, 4) r(i)")
 def q_chunk_fixed(spark, d):
     k = ks.encode(vectors(spark, d), 2).select("vec_id", fn.bit_string(F.col("k"), 64).alias("k"))
@@ -227,6 +246,11 @@ def q_lex_range(spark, d):
     return lookup.lex_range(bits(spark, d), "11", "1101", 64)
 
 
+@query(f"select k, row_number() over (order by k) as rank from {o.keys(64)} where k between rpad('01', 2048, '0') and rpad('10', 2048, '1') order by k limit 40")
+def q_lex_range_ordered(spark, d):
+    return lookup.in_order(lookup.lex_range(bits(spark, d, 64), "01", "10", 2048), "k", 40)
+
+
 @query(f"select k from {o.keys(2)} where k between rpad('11', 64, '0') and rpad('1101', 64, '0')")
 def q_lex_range_zero_padded(spark, d):
     return lookup.lex_range(bits(spark, d), "11", "1101", 64, pad_high="0")
@@ -279,6 +303,16 @@ def q_complete(spark, d):
     return lookup.complete(entries(spark, d), "https://t")
 
 
+@query(f"select key, value, row_number() over (order by key) as rank from {ENTRIES} where starts_with(key, 'https://') order by key limit 25")
+def q_complete_ordered(spark, d):
+    return lookup.in_order(lookup.complete(entries(spark, d), "https://"), "key", 25)
+
+
+@query(f"select key, value, row_number() over (order by key) as rank from {ENTRIES} where key >= 'http://m' order by key limit 10")
+def q_dict_lower_bound(spark, d):
+    return lookup.in_order(lookup.from_key(entries(spark, d), "http://m"), "key", 10)
+
+
 @query(f"""with q(prefix) as (values ('http'), ('http://t'), ('https://'), ('x'))
 select prefix, key, value, rank from (select prefix, key, value, row_number() over (partition by prefix order by value desc, key) as rank from {ENTRIES} e join q on starts_with(e.key, q.prefix)) where rank <= 5""")
 def q_complete_ranked(spark, d):
@@ -331,6 +365,12 @@ def q_box_points(spark, d):
     return hits.select("vec_id", F.posexplode(fn.ordered_values(F.slice("embedding", 1, 4))).alias("dim", "ordered"))
 
 
+@query(f"select e.vec_id, row_number() over (order by {o.morton(64, '0.0', vector='e.embedding')}, e.vec_id) as rank from embeddings e, {CENTRE} where {BOX} order by rank limit 60")
+def q_box_ordered(spark, d):
+    keyed = vectors(spark, d).withColumn("k", fn.morton_key(F.col("embedding"), 64))
+    return lookup.in_order(spatial.box_by_key(keyed, *around(spark, d), 64).select("k", "vec_id"), ["k", "vec_id"], 60).select("vec_id", "rank")
+
+
 def box_queries(spark, d, dims=4, r=0.1):
     v = vectors(spark, d).where("vec_id % 50 = 0")
     x = F.slice("embedding", 1, dims)
@@ -536,6 +576,17 @@ def sweep(spark, d):
     return cd.unionByName(pc)
 
 
+_MEASURED: dict[tuple[str, str], DataFrame] = {}
+
+
+def runs(spark, d):
+    """The table of measurements that the reports read: sweep()'s, written once for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MEASURED:
+        _MEASURED[key] = materialise(sweep(spark, d))
+    return _MEASURED[key]
+
+
 def _sweep_sql() -> str:
     parts = " union all ".join(
         f"select {dims} as dim, '{'float16' if half else 'float32'}' as dtype, {dims * (16 if half else 32)} as n_bits, k, {list(widths)} as gbs from {o.keys(dims, half=half)}" for dims, widths in SWEEP_DIMS.items() for half in (False, True)
@@ -565,8 +616,8 @@ _ROUNDED = ", ".join(f"round({c}, 8) as {c}" for c in COLLAPSE[1:])
 
 
 @query(f"{RUNS} select key_set, dim, dtype, n_keys, n_unique_keys, group_bits, method, total_bytes, round(bytes_per_key, 8) as bytes_per_key, edges, trie_edges_before_suffix_collapse, dawg_edges_after_suffix_collapse, pre_suffix_total_bytes, {_ROUNDED}, {', '.join(f'null::double as {t}' for t in TIMES)} from runs")
-def q_sweep(spark, d):
-    return sweep(spark, d)
+def q_runs(spark, d):
+    return runs(spark, d)
 
 
 @query(f"""{STRUCTURE}, s as (select s.*, case s.cfg {' '.join(f"when '{c}' then {w[0]}" for c, _, _, w in FIXED_SETS)} end gb, {' case s.cfg ' + ' '.join(f"when '{c}' then {sum(w)}" for c, _, _, w in FIXED_SETS)} end n_bits, (select count(distinct k) from keyed k where k.cfg = s.cfg) n from ({SUMMARY}) s where s.cfg not like '%plan'),
@@ -583,61 +634,61 @@ def q_suffix_collapse(spark, d):
 
 @query(f"{RUNS} select key_set, dim, dtype, n_unique_keys, group_bits, method, case when method like 'PC-%' then 'PC' else 'CD' end as variant, dim * case dtype when 'float16' then 16 else 32 end / 8 as key_bytes, round(bytes_per_key / (dim * case dtype when 'float16' then 16 else 32 end / 8), 8) as normalized_bpk from runs where (dim * case dtype when 'float16' then 16 else 32 end) % group_bits = 0 and dim * case dtype when 'float16' then 16 else 32 end / group_bits >= 3")
 def q_key_metrics(spark, d):
-    out = report.with_variant(report.with_key_metrics(report.relevant(sweep(spark, d))))
+    out = report.with_variant(report.with_key_metrics(report.relevant(runs(spark, d))))
     return out.select("key_set", "dim", "dtype", "n_unique_keys", "group_bits", "method", "variant", "key_bytes", "normalized_bpk")
 
 
 @query(f"""{RUNS}, p as (select dim, method, avg(bytes_per_key) mean_value, max_by(bytes_per_key, n_unique_keys) value_at_max_n, max(n_unique_keys) max_n, count(distinct n_unique_keys) n_points from runs where dtype = 'float32' group by 1, 2)
 select dim, method, round(mean_value, 8) as mean_value, round(value_at_max_n, 8) as value_at_max_n, max_n, n_points from (select *, row_number() over (partition by dim order by mean_value, value_at_max_n, {ORDER}) r from p) where r = 1""")
 def q_best_scheme(spark, d):
-    return report.best_scheme(sweep(spark, d).where("dtype = 'float32'"), "bytes_per_key")
+    return report.best_scheme(runs(spark, d).where("dtype = 'float32'"), "bytes_per_key")
 
 
 @query(f"""{RUNS}, g as (select n_unique_keys, count(distinct (dim, dtype)) has from runs group by 1)
 select coalesce(max(case when has = 6 then n_unique_keys end), max(n_unique_keys)) as n, max(case when has = 6 then n_unique_keys end) is not null as common from g""")
 def q_common_n(spark, d):
-    return report.common_n(sweep(spark, d), ["dim", "dtype"])
+    return report.common_n(runs(spark, d), ["dim", "dtype"])
 
 
 @query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dtype, dim order by bytes_per_key, {ORDER}) r from runs where key_set = 'all') where r = 1)
 select h.dim, h.method as method16, round(h.bytes_per_key, 8) as value16, f.method as method32, round(f.bytes_per_key, 8) as value32, round(h.bytes_per_key / f.bytes_per_key, 8) as ratio, round(h.bytes_per_key - f.bytes_per_key, 8) as delta
 from b h join b f on f.dim = h.dim and h.dtype = 'float16' and f.dtype = 'float32'""")
 def q_dtype_compare(spark, d):
-    return report.dtype_comparison(sweep(spark, d).where("key_set = 'all'"), "bytes_per_key")
+    return report.dtype_comparison(runs(spark, d).where("key_set = 'all'"), "bytes_per_key")
 
 
 @query(f"""{RUNS} select h.dim, h.method, round(h.bytes_per_key, 8) as float16, round(f.bytes_per_key, 8) as float32, round(h.bytes_per_key / f.bytes_per_key, 8) as ratio, round(h.bytes_per_key - f.bytes_per_key, 8) as delta
 from runs h join runs f on f.dim = h.dim and f.method = h.method and h.dtype = 'float16' and f.dtype = 'float32' and h.key_set = 'all' and f.key_set = 'all'""")
 def q_same_method_ratio(spark, d):
-    return report.same_method_ratio(sweep(spark, d).where("key_set = 'all'"), "bytes_per_key")
+    return report.same_method_ratio(runs(spark, d).where("key_set = 'all'"), "bytes_per_key")
 
 
 @query(f"{RUNS} select method, " + ", ".join(f'round(max(case when key_set = \'{n}\' then bytes_per_key end), 8) as "{n}"' for n in (100, 200, ALL)) + " from runs where dim = 4 and dtype = 'float32' group by 1")
 def q_method_pivot(spark, d):
-    return report.pivot_table(sweep(spark, d).where("dim = 4 and dtype = 'float32'"), "method", "key_set", ["100", "200", ALL], "bytes_per_key")
+    return report.pivot_table(runs(spark, d).where("dim = 4 and dtype = 'float32'"), "method", "key_set", ["100", "200", ALL], "bytes_per_key")
 
 
 @query(f"{RUNS} select key_set, dim, dtype, n_keys, group_bits, round(suffix_collapse_saving_pct, 8) as saving from runs where method like 'CD-%' and pre_suffix_bytes_per_key > 0")
 def q_suffix_ready(spark, d):
-    return report.suffix_ready(sweep(spark, d)).select("key_set", "dim", "dtype", "n_keys", "group_bits", "saving")
+    return report.suffix_ready(runs(spark, d)).select("key_set", "dim", "dtype", "n_keys", "group_bits", "saving")
 
 
 @query(f"{RUNS}, b as (select * from (select *, case when method like 'PC-%' then 'PC' else 'CD' end variant, row_number() over (partition by case when method like 'PC-%' then 'PC' else 'CD' end, dim order by bytes_per_key, group_bits) r from runs where key_set = 'all' and dtype = 'float32') where r = 1) select variant, dim, group_bits, edges, round(bytes_per_key, 8) as bytes_per_key from b")
 def q_best_baselines(spark, d):
-    return report.best_baselines(sweep(spark, d).where("key_set = 'all' and dtype = 'float32'"), "bytes_per_key").select("variant", "dim", "group_bits", "edges", "bytes_per_key")
+    return report.best_baselines(runs(spark, d).where("key_set = 'all' and dtype = 'float32'"), "bytes_per_key").select("variant", "dim", "group_bits", "edges", "bytes_per_key")
 
 
 @query(f"""{RUNS}, b as (select * from (select *, row_number() over (partition by dim order by bytes_per_key, group_bits) r from runs where key_set = 'all' and dtype = 'float32' and method like 'CD-%') where r = 1)
 select r.dim, r.method, b.group_bits as best_group_bits, round((r.bytes_per_key - b.bytes_per_key) / b.bytes_per_key, 8) as delta_bpk, round(100.0 * (b.edges - r.edges) / b.edges, 8) as edge_reduction_pct from runs r join b on b.dim = r.dim where r.key_set = 'all' and r.dtype = 'float32'""")
 def q_baseline_deltas(spark, d):
-    rows = sweep(spark, d).where("key_set = 'all' and dtype = 'float32'")
+    rows = runs(spark, d).where("key_set = 'all' and dtype = 'float32'")
     base = report.best_baselines(rows, "bytes_per_key").where("variant = 'CD'")
     return report.against_baseline(rows, base).select("dim", "method", "best_group_bits", "delta_bpk", "edge_reduction_pct")
 
 
 @query(f"{RUNS} select key_set, dim, dtype, method, n_keys, total_bytes from (select *, max(n_keys) over (partition by group_bits) top from runs) where n_keys = top")
 def q_max_n_rows(spark, d):
-    return report.at_max_n(sweep(spark, d), ["group_bits"]).select("key_set", "dim", "dtype", "method", "n_keys", "total_bytes")
+    return report.at_max_n(runs(spark, d), ["group_bits"]).select("key_set", "dim", "dtype", "method", "n_keys", "total_bytes")
 
 
 @query(f"""{STRUCTURE}, dep as (select *, depth * 4.0 / 64 as place from ({BY_DEPTH}) where cfg = '2/float32/4')
@@ -647,6 +698,27 @@ def q_depth_heatmap(spark, d):
     return report.depth_heatmap(depths)
 
 
+@query(f"{STRUCTURE}, s as ({SUMMARY}) select cfg, 'shared' as kind, memo_hits as n from s union all select cfg, 'unique', unique_nodes from s")
+def q_finalize_breakdown(spark, d):
+    return report.finalize_breakdown(sharing.summary(sharing.build(keyed(spark, d))))
+
+
+@query(f"{RUNS} select key_set, dim, dtype, group_bits, method, edges from runs where dim in (4, 64) and group_bits in (8, 32) and dtype = 'float32'")
+def q_chosen_runs(spark, d):
+    return report.chosen(runs(spark, d), dim=[4, 64], group_bits=[8, 32], dtype=["float32"], method=[]).select("key_set", "dim", "dtype", "group_bits", "method", "edges")
+
+
+@query(f"{RUNS} select dim, " + ", ".join(f"round(max(case when method = 'CD-{g}' then suffix_collapse_saving_pct end), 8) as \"CD-{g}\"" for g in (4, 8, 16, 32)) + " from runs where key_set = 'all' and dtype = 'float32' group by 1")
+def q_saving_pivot(spark, d):
+    rows = runs(spark, d).where("key_set = 'all' and dtype = 'float32'")
+    return report.pivot_table(rows, "dim", "method", [f"CD-{g}" for g in (4, 8, 16, 32)], "suffix_collapse_saving_pct")
+
+
+@query(f"{RUNS} select group_bits, " + ", ".join(f"round(max(case when key_set = '{n}' then bytes_per_key end), 8) as \"{n}\"" for n in (100, 200, ALL)) + " from runs where dim = 64 and dtype = 'float32' and method like 'PC-%' group by 1")
+def q_width_pivot(spark, d):
+    return report.pivot_table(runs(spark, d).where("dim = 64 and dtype = 'float32' and method like 'PC-%'"), "group_bits", "key_set", ["100", "200", ALL], "bytes_per_key")
+
+
 @query(f"""{STRUCTURE}, s as (select cfg, count(*) filter (in_degree > 1) as shared from i group by 1), m as (select cfg, count(*) nodes from c group by 1)
 select m.cfg, round(coalesce(shared, 0) / nodes, 8) as shared_pct from m left join s on s.cfg = m.cfg""")
 def q_shared_pct(spark, d):
@@ -833,6 +905,7 @@ def plan_candidates(spark, d):
 
 @query()
 def q_sampled_best(spark, d):
+    """The plan that is smallest on an even sample of the keys; its parts are registered with SQL of their own."""
     return plan_candidates(spark, d).orderBy("sample_normalized_bpk", "cfg").limit(1)
 
 
@@ -850,7 +923,7 @@ def q_indegree_capped(spark, d):
 
 @query(f"{RUNS}, b as (select dim, dtype, key_set, n_unique_keys * dim * case dtype when 'float16' then 16 else 32 end / 8 as raw from runs group by all) select r.key_set, r.dim, r.dtype, r.n_keys, r.method, round(r.total_bytes / b.raw, 8) as ratio from runs r join b on b.dim = r.dim and b.dtype = r.dtype and b.key_set = r.key_set")
 def q_size_ratio(spark, d):
-    return report.size_ratio(sweep(spark, d)).select("key_set", "dim", "dtype", "n_keys", "method", "ratio")
+    return report.size_ratio(runs(spark, d)).select("key_set", "dim", "dtype", "n_keys", "method", "ratio")
 
 
 @query(f"with {CHUNK_SQL} select start_bit, round(max(case when group_bits = 4 then rho end), 8) as w4, round(max(case when group_bits = 8 then rho end), 8) as w8, round(max(case when group_bits = 16 then rho end), 8) as w16 from card where group_bits < 24 group by 1")
@@ -905,6 +978,45 @@ def q_dynamic_sweep(spark, d):
     return report.against_fixed(rows, fixed)
 
 
+# ---------------------------------------------------------------- files
+
+
+def _file(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select vec_id - (select min(vec_id) from embeddings) as vec_id, i - 1 as dim, round(embedding[i]::double, 8) as x from embeddings, range(1, 65, 9) r(i)")
+def q_vector_file(spark, d):
+    """Vectors written as raw float32 rows and read back; vec_id counts from 0 as the table's does."""
+    path = _file(spark, "vectors")
+    vector_files.write_vectors(vectors(spark, d), path)
+    back = vector_files.read_vectors(spark, path, 64)
+    dims = F.array(*[F.struct(F.lit(i - 1).alias("dim"), F.col("embedding")[i - 1].alias("x")) for i in range(1, 65, 9)])
+    return back.select("vec_id", F.inline(dims))
+
+
+@query(f"select distinct {o.morton(64)} k from embeddings")
+def q_packed_key_file(spark, d):
+    """Keys written as packed records and read back."""
+    path = _file(spark, "keys")
+    vector_files.write_packed_keys(ks.unique_keys(vectors(spark, d), 64), path)
+    return vector_files.read_packed_keys(spark, path, 2048).select(fn.bit_string(F.col("k"), 2048).alias("k"))
+
+
+@query(f"select key, value from {ENTRIES}")
+def q_dictionary_file(spark, d):
+    path = _file(spark, "dictionary")
+    vector_files.write_dictionary(entries(spark, d), path)
+    return vector_files.read_dictionary(spark, path)
+
+
+@query("select 64 as embed_dim, 'float32' as dtype, 4 as item_size_bytes, count(*) as total_vectors, count(*) * 256 as total_size_bytes, 1024 as truncated_from_dim, 'embeddings' as source_file, true as merged_file, '2024-01-01T00:00:00' as truncated_at from embeddings")
+def q_sidecar(spark, d):
+    path = _file(spark, "sidecar")
+    vector_files.write_sidecar(spark, path, 64, "float32", vectors(spark, d).count(), "embeddings", 1024, merged=True, truncated_at="2024-01-01T00:00:00")
+    return vector_files.read_sidecar(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

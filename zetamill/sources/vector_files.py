@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zetamill.session import materialise
+
+SPLIT_BYTES = 256 << 20
 ITEM_BYTES = {"float32": 4, "float16": 2}
 _ROW = T.StructType([T.StructField("record", T.BinaryType()), T.StructField("vec_id", T.LongType())])
 
@@ -40,10 +43,41 @@ def file_rows(spark: SparkSession, path: str, dims: int, dtype: str = "float32")
 
 
 def _records(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """(record, vec_id) of fixed-length records, numbered over all files in the order of their names.
+
+    Each file is cut into ranges of whole records, which are read through the file system that Spark uses.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "length").orderBy("path").collect()
+    step = max(1, SPLIT_BYTES // length) * length
+    ranges, before = [], 0
+    for f in files:
+        ranges += [(f.path, at, min(step, f.length - at), before + at // length) for at in range(0, f.length, step)]
+        before += f.length // length
+    if not ranges:
+        return spark.createDataFrame([], _ROW)
+    if all(r[1] == 0 for r in ranges):  # files of one range each are read as they are
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
+        base = spark.createDataFrame([(r[0], r[3]) for r in ranges], "path string, base long")
+        return whole.join(F.broadcast(base), "path").select("content", "base").mapInArrow(_cut_records(length), _ROW)
     indexed = spark.sparkContext.binaryRecords(path, length).zipWithIndex()
     return spark.createDataFrame(indexed.map(lambda x: (bytearray(x[0]), x[1])), _ROW)
 
 
+def _cut_records(length: int):
+    def run(batches):
+        for batch in batches:
+            for content, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = content.as_buffer()
+                for begin in range(0, len(raw), max(1, (8 << 20) // length) * length):
+                    part = raw.slice(begin, min(max(1, (8 << 20) // length) * length, len(raw) - begin))
+                    n = len(part) // length
+                    offsets = np.arange(n + 1, dtype=np.int32) * length
+                    records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), part])
+                    yield pa.RecordBatch.from_arrays([records, pa.array(np.arange(n) + base + begin // length)], names=["record", "vec_id"])
+
+    return run
+
+
 def read_vectors(spark: SparkSession, path: str, dims: int, dtype: str = "float32", rows: int | None = None) -> DataFrame:
     """(vec_id, embedding) of a row-major file without header, vec_id counting from 0; its first rows if `rows` is given.
 
@@ -69,36 +103,62 @@ def read_packed_keys(spark: SparkSession, path: str, n_bits: int) -> DataFrame:
     return _records(spark, path, n_bits // 8).select(F.col("record").alias("k"))
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Raw float32 rows in order of vec_id as part files in a folder that all executors share.
+def write_vectors(vectors: DataFrame, path: str, dtype: str = "float32") -> None:
+    """Raw rows in order of vec_id as part files in a folder that all executors share; float16 rounds to nearest even.
 
     A part is written under another name and renamed when whole, so a task that runs twice does no harm.
     """
-    os.makedirs(path, exist_ok=True)
+    kind = "<f4" if dtype == "float32" else "<f2"
+    ordered = vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("embedding")
+    _write_parts(ordered, path, lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes())
+
+
+def write_packed_keys(keys: DataFrame, path: str) -> None:
+    """Packed BINARY keys k, all of one length, in ascending order as part files of records without header."""
+    _write_parts(keys.select("k").repartitionByRange("k").sortWithinPartitions("k"), path, lambda column: b"".join(column.to_pylist()))
+
+
+def _write_parts(rows: DataFrame, path: str, raw) -> None:
+    folder = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
 
     def write(batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = os.path.join(path, f"part-{context.partitionId():05d}.bin")
-        temporary = f"{name}.{context.taskAttemptId()}"
+        name = os.path.join(folder, f"part-{context.partitionId():05d}.bin")
+        temporary = os.path.join(folder, f".part-{context.partitionId():05d}.{context.taskAttemptId()}")
         n = 0
         with open(temporary, "wb") as out:
             for batch in batches:
-                out.write(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                out.write(raw(batch.column(0)))
                 n += batch.num_rows
         os.replace(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    ordered = vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("embedding")
-    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
 
+def write_dictionary(entries: DataFrame, path: str) -> None:
+    """(key, value) entries as Parquet in order of their keys."""
+    entries.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
-def write_sidecar(spark: SparkSession, path: str, dims: int, dtype: str, n_vectors: int, source: str, truncated_from: int | None = None) -> None:
+
+def write_numbers(table: DataFrame, column: str, path: str) -> None:
+    """One number a line, ascending within range partitions."""
+    table.select(F.col(column).cast("string").alias("value"), F.col(column).alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+
+
+def write_sidecar(spark: SparkSession, path: str, dims: int, dtype: str, n_vectors: int, source: str, truncated_from: int | None = None, merged: bool | None = None, truncated_at: str | None = None) -> None:
     """Metadata of a vector file as one JSON object."""
-    fields = {"embed_dim": dims, "dtype": dtype, "item_size_bytes": ITEM_BYTES[dtype], "total_vectors": n_vectors, "total_size_bytes": n_vectors * dims * ITEM_BYTES[dtype], "truncated_from_dim": truncated_from, "source_file": source}
-    schema = "embed_dim int, dtype string, item_size_bytes int, total_vectors long, total_size_bytes long, truncated_from_dim int, source_file string"
-    spark.createDataFrame([tuple(fields.values())], schema).coalesce(1).write.mode("overwrite").json(path)
+    item = ITEM_BYTES[dtype]
+    fields = [(dims, dtype, item, n_vectors, n_vectors * dims * item, truncated_from, source, merged, truncated_at)]
+    schema = "embed_dim int, dtype string, item_size_bytes int, total_vectors long, total_size_bytes long, truncated_from_dim int, source_file string, merged_file boolean, truncated_at string"
+    spark.createDataFrame(fields, schema).coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
@@ -106,11 +166,20 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str, dims: int = 16) -> DataFrame:
-    """(line, point) of a CSV file of unsigned 64-bit coordinates; line counts from 0."""
+    """(line, point) of CSV files of unsigned 64-bit coordinates; line counts from 0, over files in the order of their names.
+
+    Lines are numbered inside the blocks that tasks read, and blocks by their place, so nothing is numbered in one task.
+    """
     columns = [f"c{i}" for i in range(dims)]
     rows = spark.read.schema(", ".join(f"{c} decimal(20,0)" for c in columns)).csv(path)
-    numbered = rows.withColumn("order", F.monotonically_increasing_id())
-    return numbered.select((F.row_number().over(Window.orderBy("order")) - 1).alias("line"), F.array(*columns).alias("point"))
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    placed = materialise(rows.select(block, F.monotonically_increasing_id().alias("order"), F.array(*columns).alias("point")))
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each block of a file.
+    base = sizes.select("block", "first", F.coalesce(before, F.lit(0)).alias("base"))
+    # Inside a block ids ascend by one.
+    return placed.join(F.broadcast(base), "block").select((F.col("base") + F.col("order") - F.col("first")).alias("line"), "point")
 
 
 def read_ranges(spark: SparkSession, lower: str, upper: str, dims: int = 16) -> DataFrame:
