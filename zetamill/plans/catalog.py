@@ -246,9 +246,9 @@ def q_lex_range(spark, d):
     return lookup.lex_range(bits(spark, d), "11", "1101", 64)
 
 
-@query(f"select k, row_number() over (order by k) as rank from {o.keys(64)} where k between rpad('01', 2048, '0') and rpad('10', 2048, '1') order by k limit 40")
+@query(f"select k, row_number() over (order by k) as rank from {o.keys(64)} where k between rpad('1', 2048, '0') and rpad('1', 2048, '1') order by k limit 40")
 def q_lex_range_ordered(spark, d):
-    return lookup.in_order(lookup.lex_range(bits(spark, d, 64), "01", "10", 2048), "k", 40)
+    return lookup.in_order(lookup.lex_range(bits(spark, d, 64), "1", "1", 2048), "k", 40)
 
 
 @query(f"select k from {o.keys(2)} where k between rpad('11', 64, '0') and rpad('1101', 64, '0')")
