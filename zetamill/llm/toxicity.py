@@ -37,7 +37,7 @@ from .runtime import cut, small_batches
 from .textkernel import distinct_spans, mix64
 from .units import KEY, gather, once
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 24_000_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 14_000_000
 LANDMARKS = 256
 #: Decision value of a word that shares nothing with any landmark, and the bounds of decision values.
 BIAS, LEAST = -1.0, -3.0
@@ -46,7 +46,7 @@ SLOTS = 1 << 18
 SPAN, DECAY = 6, 0.6
 #: Turns of witnesses and training, parts of the sentences that choose witnesses for each other, share of the clean sentences
 #: that may have higher words than a witness, and clean words in one training.
-TURNS, FOLDS, CALM, NEGATIVE_WORDS = 3, 3, 0.08, 8_000
+TURNS, FOLDS, CALM, NEGATIVE_WORDS = 3, 3, 0.08, 6_000
 PIECE, PIECE_STEP = 22, 8
 CACHE_WORDS = 250_000
 BLOCK_CHARS = 1 << 20
@@ -168,8 +168,8 @@ def subsequence_slot(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
 def decisions(words: Words, weights: list[np.ndarray]) -> list[np.ndarray]:
     """The decision values of each word under several functions."""
     out = [np.full(len(words.starts), BIAS) for _ in weights]
-    for begin in range(0, len(words.starts), 8192):
-        some = slice(begin, begin + 8192)
+    for begin in range(0, len(words.starts), 2048):
+        some = slice(begin, begin + 2048)
         word, slot, weight = subsequences(words.some(some))
         for values, w in zip(out, weights, strict=True):
             values[some] += np.bincount(word, w[slot] * weight, minlength=len(values[some]))
@@ -288,8 +288,8 @@ def mean_discriminants(words: Words, docs: np.ndarray, ids: np.ndarray, labels:
     parts = [(labels[docs] == y) & (fold != f) for f in range(FOLDS) for y in (0, 1)]
     each = [np.bincount(ids[p], share[p], minlength=len(words.starts)) / share[p].sum() for p in parts]
     mean = np.zeros((len(parts), SLOTS))
-    for begin in range(0, len(words.starts), 8192):
-        some = slice(begin, begin + 8192)
+    for begin in range(0, len(words.starts), 2048):
+        some = slice(begin, begin + 2048)
         word, slot, weight = subsequences(words.some(some))
         for m, e in zip(mean, each, strict=True):
             m += np.bincount(slot, weight * e[some][word], minlength=SLOTS)
