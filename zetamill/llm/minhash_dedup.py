@@ -43,7 +43,6 @@ CHUNK_BYTES, CHUNK_ROWS = 4_000_000, 512
 SKETCH_ROWS = 1024
 #: Coordinates that are compared, by one byte each.
 COMPARED = 192
-BROADCAST_BANDS = 300_000
 PIVOT_SHARE = 0.25
 
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -276,7 +275,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     bands = sketches.select("rep", "load").mapInArrow(_explode_bands, "rep long, band long")
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < last")
     buckets = cut(buckets.groupBy("n", "least", "last", "who").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / sketch_rows).cast("int").alias("n_chunks")))
-    shared = bands.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_BANDS else buckets, "band")
+    # The shared bands grow with the documents, so they are never broadcast, and the plan is the same at every size.
+    shared = bands.join(buckets.hint("merge"), "band")
     likely = _grouped_links(cut(shared.select(F.col("band").alias("group"), "rep", "n_chunks").distinct()), sketches.select("rep", "load"), _compare("sketch", k, percent, key))
 
     groups = connected_components(likely).select(F.col("node").alias("rep"), F.col("component").alias("group"))
