@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from zetamill.llm.minhash_dedup import COORDINATES, drop_near_duplicates, links_between, near_duplicates, sketch
+from zetamill.llm.minhash_dedup import COORDINATES, _only, drop_near_duplicates, links_between, near_duplicates, sketch
 from zetamill.llm.textkernel import mix64
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -113,3 +113,11 @@ def test_columns_with_clashing_names(spark):
     out = drop_near_duplicates(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_filter_before_dealing_loses_no_row(spark):
+    loads = spark.range(-30_000, 30_000).selectExpr("id as rep", "cast(id as string) as load").unionByName(spark.createDataFrame([(None, "n"), (1 << 62, "m")], "rep long, load string"))
+    wanted = {*range(-29_999, 30_000, 7), 1 << 62}
+    got = _only(loads, spark.createDataFrame([(i,) for i in wanted], "rep long").repartition(5)).collect()
+    assert wanted <= {r.rep for r in got} and len(got) < len(wanted) + 200 and all(r.load == ("m" if r.rep == 1 << 62 else str(r.rep)) for r in got)
+    assert _only(loads, spark.createDataFrame([], "rep long")).count() == 0

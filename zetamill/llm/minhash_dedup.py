@@ -44,6 +44,8 @@ SKETCH_ROWS = 1024
 #: Coordinates that are compared, by one byte each.
 COMPARED = 192
 PIVOT_SHARE = 0.25
+#: Bits of the filter that goes to every executor before loads are dealt, hence at most 8 MB whatever the input.
+FILTER_BITS = 1 << 26
 
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -82,13 +84,18 @@ def band_keys(short: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _planes(short: np.ndarray) -> bytes:
+    """16-bit coordinates as all their low bytes, which are what is compared, then all their high bytes."""
+    return short.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
 def _sketches(k: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, k, key)
                 prints = [set_fingerprint(s) if len(s) else (None, None) for s in sets]
-                sketches = [mix64(sketch(s)).astype(np.uint16).tobytes() if len(s) else None for s in sets]
+                sketches = [_planes(mix64(sketch(s)).astype(np.uint16)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(sketches, pa.binary())],
                     names=["doc_id", "n_shingles", "n_bytes", "fa", "fb", "sketch"],
@@ -101,7 +108,8 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             part = batch.slice(start, 2048)
-            keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES))
+            low, high = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 2, COORDINATES).astype(np.uint16).swapaxes(0, 1)
+            keys = band_keys(low | (high << 8))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], names=["rep", "band"])
 
 
@@ -182,7 +190,7 @@ def _compared(rows: pa.Table, kind: str, k: int, percent: int, key: bytes) -> pa
         sets = [s for part in rows.column("load").chunks for _, _, data, offsets in text_blocks(part) for s in shingle_sets(data, offsets, k, key)]
         compare = lambda a, b, n: links_between(sets[a:b], n, percent)
     else:
-        sketches = np.frombuffer(b"".join(rows.column("load").to_pylist()), np.uint16).reshape(len(reps), -1)[:, :COMPARED].astype(np.uint8)
+        sketches = np.frombuffer(b"".join(rows.column("load").to_pylist()), np.uint8).reshape(len(reps), COMPARED)
         compare = lambda a, b, n: likely_links(sketches[a:b], n, percent)
         twos = begin[some][(end - begin)[some] == 2]  # most buckets
         alike = (sketches[twos] == sketches[twos + 1]).sum(axis=1) >= _least_agreement(percent)
@@ -217,6 +225,18 @@ def _compare(kind: str, k: int, percent: int, key: bytes):
     return run
 
 
+def _only(loads: DataFrame, reps: DataFrame) -> DataFrame:
+    """loads(rep, load) without most rows whose rep isn't in reps(rep), so that these aren't dealt; a join by rep must follow.
+
+    Hashed reps set bits of a map of FILTER_BITS, built by an aggregation and held whole by every executor.  Some tens of
+    millions of reps fill it; it then keeps more rows than needed, at worst all, but never loses one.
+    """
+    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1
+    maps = reps.select(bit.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    is_set = F.expr("getbit(cast(conv(hex(substring(bits, cast(bitmap_bit_position(at) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(at) % 8 as int)) = 1")
+    return loads.withColumn("at", bit).join(F.broadcast(maps), (F.bitmap_bucket_number("at") == F.col("bucket")) & is_set).select("rep", "load")
+
+
 def _grouped_links(members: DataFrame, loads: DataFrame, compare) -> DataFrame:
     """(a, b): links that join the members of each group of members(group, rep, n_chunks), by their loads(rep, load).
 
@@ -225,7 +245,7 @@ def _grouped_links(members: DataFrame, loads: DataFrame, compare) -> DataFrame:
 
     def links(tasks: DataFrame) -> DataFrame:
         # Rows that are already dealt by group alone would not be dealt again, and one group's chunks would share a task.
-        rows = tasks.join(loads, "rep").select("group", "chunk", "side", "rep", "load")
+        rows = tasks.join(_only(loads, tasks), "rep").select("group", "chunk", "side", "rep", "load")
         placed = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "side", "rep")
         return cut(placed.mapInArrow(compare, "a long, b long").where("a <> b"))
 
@@ -273,11 +293,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes:
     sketches = cut(own.select(F.col("doc_id").alias("rep"), "n_bytes", F.col("sketch").alias("load")))
 
     bands = sketches.select("rep", "load").mapInArrow(_explode_bands, "rep long, band long")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < last")
-    buckets = cut(buckets.groupBy("n", "least", "last", "who").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / sketch_rows).cast("int").alias("n_chunks")))
-    # The shared bands grow with the documents, so they are never broadcast, and the plan is the same at every size.
-    shared = bands.join(buckets.hint("merge"), "band")
-    likely = _grouped_links(cut(shared.select(F.col("band").alias("group"), "rep", "n_chunks").distinct()), sketches.select("rep", "load"), _compare("sketch", k, percent, key))
+    # First the bands that several texts share, by counts alone; all else is found out about these few.  They grow with the
+    # documents, so they are never broadcast, and the plan is the same at every size.
+    counts = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = cut(bands.join(counts.hint("merge"), "band").select("band", "rep").distinct())
+    buckets = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < last")
+    buckets = buckets.groupBy("n", "least", "last", "who").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / sketch_rows).cast("int").alias("n_chunks"))
+    grouped = cut(shared.join(buckets, "band").select(F.col("band").alias("group"), "rep", "n_chunks"))
+    compared = sketches.select("rep", F.substring("load", 1, COMPARED).alias("load"))
+    likely = _grouped_links(grouped, compared, _compare("sketch", k, percent, key))
 
     groups = connected_components(likely).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     sized = cut(groups.join(sketches.groupBy("rep").agg(F.sum("n_bytes").alias("n_bytes")), "rep"))
