@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from zetamill.llm.minhash_dedup import COORDINATES, _only, drop_near_duplicates, links_between, near_duplicates, sketch
+from zetamill.llm.components import connected_components
+from zetamill.llm.minhash_dedup import COORDINATES, _only, _stars, drop_near_duplicates, links_between, near_duplicates, sketch
 from zetamill.llm.textkernel import mix64
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -121,3 +122,36 @@ def test_filter_before_dealing_loses_no_row(spark):
     got = _only(loads, spark.createDataFrame([(i,) for i in wanted], "rep long").repartition(5)).collect()
     assert wanted <= {r.rep for r in got} and len(got) < len(wanted) + 200 and all(r.load == ("m" if r.rep == 1 << 62 else str(r.rep)) for r in got)
     assert _only(loads, spark.createDataFrame([], "rep long")).count() == 0
+
+
+def least_reachable(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = list(range(1000, 1064))
+    rng.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *[(rng.randrange(300), rng.randrange(300)) for _ in range(170)], (-5, 400), (401, 401), *[(500, i) for i in range(501, 560)]]
+    got = connected_components(spark.createDataFrame([*edges, *edges[:9], (None, 3), (4, None)], "a long, b long")).collect()
+    want = least_reachable([e for e in edges if e[0] != e[1]])
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stars_join_what_pairs_join():
+    rng = np.random.default_rng(5)
+    reps = rng.permutation(400) * 3 - 50
+    for pairs in (rng.integers(0, 400, (180, 2)), np.c_[np.arange(399), np.arange(1, 400)], np.zeros((0, 2), np.int64)):
+        a, b = _stars(pairs, reps)
+        assert dict(zip(a.tolist(), b.tolist())) == least_reachable(reps[pairs].tolist())

@@ -201,7 +201,21 @@ def _compared(rows: pa.Table, kind: str, k: int, percent: int, key: bytes) -> pa
         if found:
             pairs.append(np.array(found, np.int64) + begin[i])
     flat = np.concatenate(pairs)
-    return pa.RecordBatch.from_arrays([pa.array(reps[flat[:, 0]]), pa.array(reps[flat[:, 1]])], names=["a", "b"])
+    a, b = _stars(flat, reps)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _stars(pairs: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The reps of the rows that pairs join, each with the least rep of its part: what components are made of fastest."""
+    rows, at = np.unique(pairs, return_inverse=True)
+    at, least = at.reshape(pairs.shape), reps[rows].copy()
+    while True:
+        low = np.minimum(least[at[:, 0]], least[at[:, 1]])
+        before = least.copy()
+        np.minimum.at(least, at[:, 0], low)
+        np.minimum.at(least, at[:, 1], low)
+        if (least == before).all():
+            return reps[rows], least
 
 
 def _compare(kind: str, k: int, percent: int, key: bytes):
